@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import decontaminate, exact_dedup, sentencepieces
 from .common import Scratch, read
 
+#: The public tokenizer's model; operators take any path.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(read(spark, sf_dir, "documents"), Scratch(spark, "op4"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepieces.decode(sentencepieces.encode(docs, PIECES).drop("text"), PIECES)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"), Scratch(spark, "op9"))
+    return decontaminate.judge(found).select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_sentencepiece": op5_sentencepiece,
+    "op9_benchmark_decontamination": op9_benchmark_decontamination,
 }
 
 ORACLE_SQL = {
@@ -25,4 +51,26 @@ ORACLE_SQL = {
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER g AS kept, text_sha256
         FROM d WINDOW g AS (PARTITION BY text_sha256)
     """,
+    "op9_benchmark_decontamination": r"""
+        WITH d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), b AS (
+            SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+        ), bw AS (
+            SELECT DISTINCT item, least(13, len(w)) AS m, array_to_string(list_slice(w, k, k + least(13, len(w)) - 1), ' ') AS win
+            FROM (SELECT item, w, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS k FROM b WHERE len(w) > 0)
+        ), dw AS (
+            SELECT doc_id, k, m, array_to_string(list_slice(w, k, k + m - 1), ' ') AS win
+            FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS k FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)
+        ), hits AS (
+            SELECT doc_id, k, dw.m, item FROM dw JOIN bw ON dw.m = bw.m AND dw.win = bw.win
+        ), n AS (
+            SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(k, k + m - 1)) AS p FROM hits) GROUP BY doc_id
+        ), i AS (
+            SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY doc_id
+        )
+        SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
+    """,
 }
