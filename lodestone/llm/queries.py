@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, sentencepieces
+from . import decontaminate, exact_dedup, sentencepieces, toxicity
 from .common import Scratch, read
 
 #: The public tokenizer's model; operators take any path.
@@ -36,10 +36,22 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def crc_fold(n: int) -> Column:
+    """crc32(doc_id as text) mod n, which assigns folds."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), crc_fold(4) != 2)
+    return toxicity.score(docs, model).select("doc_id", (crc_fold(4) == 2).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
