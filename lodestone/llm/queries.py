@@ -6,12 +6,19 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, sentencepieces, toxicity
+from . import decontaminate, exact_dedup, sentencepieces, toxicity, url_filters, warc
 from .common import Scratch, read
 
 #: The public tokenizer's model; operators take any path.
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
+#: (host, path, verdict)
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge(read(spark, sf_dir, "pages"), URL_RULES, Scratch(spark, "op1"))
+
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(read(spark, sf_dir, "documents"), Scratch(spark, "op4"))
@@ -28,6 +35,13 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op6")
+    path = scratch.path("archives")
+    warc.write(warc.plan_records(read(spark, sf_dir, "pages"), scratch), path)
+    return warc.load(spark, path, payload="digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"), Scratch(spark, "op9"))
@@ -48,8 +62,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
+    "op6_warc": op6_warc,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
 }
