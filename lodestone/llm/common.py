@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,13 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df.repartition(n, *cols) if cols else df.repartition(n)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of few rows, so that what a task makes of long texts is handed on piecemeal."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def utf8_rows(batch: pa.RecordBatch, name: str):
     """The UTF-8 bytes of a string column, row by row, without decoding. Null is empty."""
     col = batch.column(batch.schema.get_field_index(name)).cast(pa.large_binary())

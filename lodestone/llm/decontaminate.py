@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, utf8_rows
+from .common import Scratch, small, utf8_rows
 
 WINDOW = 13
 BLOCK_WORDS = 500_000
@@ -122,9 +122,7 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int)
 def _searcher(shared: Broadcast, window: int, text_col: str, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = tables(shared.value, window)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in small(batches):
             old = None if first else (batch.column("spans").to_pylist(), batch.column("items").to_pylist())
             counts, spans, items = [], [], []
             for k, utf8 in enumerate(utf8_rows(batch, text_col)):

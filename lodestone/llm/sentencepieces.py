@@ -30,9 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small
+
 SPACE = "▁"
-MEMO = 1_000_000
-PAIRS = 1_000_000
+#: Entries of each of the two generations of a memo, and the longest part that is remembered.
+MEMO = 150_000
+LONGEST = 64
 
 
 def model_tables(model_file: str) -> dict:
@@ -51,19 +54,30 @@ def model_tables(model_file: str) -> dict:
 
 
 class _Memo(dict):
-    """Encoded parts by text. It forgets all when full."""
+    """Answers by key in two generations: when the new one is full it becomes the old one, whose entries move up when used."""
 
-    def __init__(self, make: Callable, most: int):
+    def __init__(self, make: Callable, most: int = MEMO):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        self[key] = value
         return value
 
 
+class _Parts(_Memo):
+    """As _Memo, without the longest keys."""
+
+    def __missing__(self, key):
+        return super().__missing__(key) if len(key) <= LONGEST else self.make(key)
+
+
 class Encoder:
     def __init__(self, model: dict):
         self.model = model
@@ -77,8 +91,11 @@ class Encoder:
         for p, i in self.ids.items():
             self.automaton.add_word(p, i)
         self.automaton.make_automaton()
-        self.memo = _Memo(self._part, MEMO)
-        self.fits = _Memo(lambda pair: self._merge(model["pieces"][pair[0]] + model["pieces"][pair[1]]) == list(pair), PAIRS)
+        self.memo = _Parts(self._part)
+        #: By left id * number of pieces + right id; and by id, whether a piece is the encoding of its own text.
+        self.size = len(model["pieces"])
+        self.fits = _Memo(lambda pair: self._fit(*divmod(pair, self.size)))
+        self.alone = _Memo(lambda i: self._merge(model["pieces"][i]) == [i], self.size + 1)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers, without begin and end."""
@@ -89,7 +106,7 @@ class Encoder:
     def _part(self, part: str) -> bytes:
         for k in range(len(part) - 1, 0, -1):
             if part[k - 1 : k + 1] not in self.together:
-                return (self.memo[part[:k]] if k < 64 else self._part_of(part[:k])) + self._part_of(part[k:])
+                return (self.memo[part[:k]] if k <= LONGEST else self._part_of(part[:k])) + self._part_of(part[k:])
         return self._part_of(part)
 
     def _part_of(self, part: str) -> bytes:
@@ -116,7 +133,10 @@ class Encoder:
         for end, piece in self.automaton.iter(text):
             if last[end] < 0:
                 before = end - length[piece]
-                if (fits[last[before], piece] if last[before] >= 0 else False) if before >= 0 else self._alone(piece):
+                if before < 0:
+                    if self.alone[piece]:
+                        last[end] = piece
+                elif last[before] >= 0 and fits[last[before] * self.size + piece]:
                     last[end] = piece
         out, at = [], len(text) - 1
         while at >= 0:
@@ -126,15 +146,8 @@ class Encoder:
             at -= length[last[at]]
         return out[::-1]
 
-    def _alone(self, piece: int) -> bool:
-        """Whether a piece is the encoding of its own text."""
-        return self.fits_alone[piece]
-
-    @property
-    def fits_alone(self):
-        if not hasattr(self, "_fits_alone"):
-            self._fits_alone = _Memo(lambda i: self._merge(self.model["pieces"][i]) == [i], len(self.length) + 1)
-        return self._fits_alone
+    def _fit(self, left: int, right: int) -> bool:
+        return self._merge(self.model["pieces"][left] + self.model["pieces"][right]) == [left, right]
 
     def _merge(self, text: str) -> list[int]:
         """Plain BPE on a short string: the best-scored neighbours are joined first, the leftmost of equals."""
@@ -201,7 +214,7 @@ def _adding(df: DataFrame, source: str, column: str, kind: T.DataType, arrow: pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = None
-        for batch in batches:
+        for batch in small(batches):
             make = make or start()
             values = batch.column(batch.schema.get_field_index(source))
             kept = [c for c in batch.schema.names if c != column]
