@@ -173,6 +173,7 @@ class Decoder:
         raw = {i: bytes([b]) for b, i in model["bytes"].items()}
         self.raw = raw
         self.out = [raw.get(i, p.replace(SPACE, " ").encode() if plain else b"") for i, (p, plain) in enumerate(zip(model["pieces"], model["plain"], strict=True))]
+        self.marked = {i for i, (p, plain) in enumerate(zip(model["pieces"], model["plain"], strict=True)) if plain and p.startswith(SPACE)}
         self.out[model["unk"]] = " ⁇ ".encode()
 
     def decode(self, ids: bytes) -> str:
@@ -182,7 +183,9 @@ class Decoder:
             text = joined.decode()
         except UnicodeDecodeError:
             text = self._mended(seq)
-        return text[1:] if text.startswith(" ") else text
+        # The mark that encoding puts before a text is dropped with the first piece, if that is an ordinary one.
+        first = next((i for i in seq if i in self.raw or self.out[i]), -1)
+        return text[1:] if first in self.marked else text
 
     def _mended(self, seq: list[int]) -> str:
         """Byte pieces that are no UTF-8 give one replacement character for each byte."""
