@@ -283,3 +283,9 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     out = sketches.select("doc_id", "n_shingles", "digest").join(rooted, "digest", "left")
     component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("root"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with their columns: one document of each component. Rows without doc_id all stay."""
+    gone = near_duplicates(docs, scratch, id_col, text_col).filter("not kept and doc_id is not null").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
