@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, near_dedup, sentencepieces, toxicity, url_filters, warc
+from . import attention_lm, decontaminate, exact_dedup, near_dedup, sentencepieces, toxicity, url_filters, warc
 from .common import Scratch, read
 
 #: The public tokenizer's model; operators take any path.
@@ -46,6 +46,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.load(spark, path, payload="digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.score_texts(read(spark, sf_dir, "documents"), crc_fold(5) == 1, PIECES, Scratch(spark, "op8"))
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"), Scratch(spark, "op9"))
@@ -71,6 +75,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_warc": op6_warc,
+    "op8_attention_lm": op8_attention_lm,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
 }

@@ -3,6 +3,7 @@
 Reading plans one partition per archive file (writers roll over to a new file before `max_bytes`). Filters on
 record_type, record_id, target_uri, payload_digest and page_id are pushed down: a task parses the header block of each
 record first, and where the header fails a pushed filter it skips over the block's Content-Length without decoding it.
+Blocks are gzip-coded one by one (Content-Encoding) with plain headers, so skipping needs no inflating either.
 The option payload says what is decoded of the others: full (the block), digest (its length and SHA-1 only), or none.
 
 Writing takes rows of (page_id, record_type, target_uri, payload, payload_digest, payload_bytes, refers_to); every task
@@ -21,6 +22,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +40,8 @@ HEADERS = {"record_type": b"warc-type", "target_uri": b"warc-target-uri", "recor
 NUMBERS = ("page_id", "refers_to")
 MANIFEST = "_manifest"
 MAX_BYTES = 256 << 20
+#: Payloads from this size are packed, in gzip's format.
+LEAST_PACKED, GZIP = 64, 31
 ROWS = 512
 BATCH_BYTES = 16 << 20
 
@@ -53,12 +57,15 @@ def _open(path: str) -> tuple[arrow_fs.FileSystem, str]:
 def record(row: dict) -> bytes:
     """One WARC/1.1 record. Revisits have a header of what they repeat and no block."""
     block = row["payload"] or b"" if row["record_type"] != "revisit" else b""
+    packed = len(block) >= LEAST_PACKED
+    block = zlib.compress(block, 6, GZIP) if packed else block
     page, refers = row["page_id"], row["refers_to"]
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{row['record_type']}:{page}:{row['target_uri']}:{row['payload_digest']}")
     uri = "".join((row["target_uri"] or "").splitlines())
     lines = ["WARC/1.1", f"WARC-Type: {row['record_type']}", f"WARC-Record-ID: <urn:uuid:{name}>", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{row['payload_digest']}", f"X-Payload-Length: {row['payload_bytes']}"]
     lines += [f"X-Page-ID: {page}"] * (page is not None) + [f"X-Refers-To-Page-ID: {refers}"] * (refers is not None)
     lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"] * (row["record_type"] == "revisit")
+    lines += ["Content-Encoding: gzip"] * packed
     return "\r\n".join([*lines, "Content-Type: text/html; charset=utf-8", f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -137,7 +144,7 @@ class WarcReader(DataSourceReader):
                 if not self._wanted(head):
                     continue
                 rows.append(self._row(head, f, at, length))
-                held += length if self.payload == "full" else 0
+                held += len(rows[-1][4] or b"") if self.payload == "full" else 0
                 if len(rows) >= ROWS or held >= BATCH_BYTES:
                     yield self._batch(rows)
                     rows, held = [], 0
@@ -155,6 +162,7 @@ class WarcReader(DataSourceReader):
         payload, digest, size = None, _field(head, "payload_digest"), int(head.get(b"x-payload-length", length))
         if self.payload != "none" and head.get(b"warc-type") != b"revisit":
             block = f.read_at(length, at)
+            block = zlib.decompress(block, GZIP) if head.get(b"content-encoding") == b"gzip" else block
             digest, size = base32(hashlib.sha1(block).digest()), len(block)
             payload = block if self.payload == "full" else None
         return [_field(head, "page_id"), _field(head, "record_type"), _field(head, "target_uri"), _field(head, "record_id"), payload, digest, size, _field(head, "refers_to")]
