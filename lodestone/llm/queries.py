@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, decontaminate, exact_dedup, near_dedup, sentencepieces, toxicity, url_filters, warc
+from . import attention_lm, decontaminate, exact_dedup, near_dedup, sentencepieces, substring_dedup, toxicity, url_filters, warc
 from .common import Scratch, read
 
 #: The public tokenizer's model; operators take any path.
@@ -24,6 +24,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(read(spark, sf_dir, "documents"), Scratch(spark, "op2"))
 
 
+def op3_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.spans(substring_dedup.repeated_paragraphs(read(spark, sf_dir, "documents"), Scratch(spark, "op3")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(read(spark, sf_dir, "documents"), Scratch(spark, "op4"))
 
@@ -72,6 +76,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_paragraph_dedup": op3_paragraph_dedup,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_warc": op6_warc,
