@@ -176,15 +176,17 @@ def _similar_in_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield _edges(out)
 
 
-def confirmed(sets: list[np.ndarray], percent: int = PERCENT) -> Iterator[tuple[int, np.ndarray]]:
-    """A spanning forest of the links between full sets."""
+def confirmed(sets: list[np.ndarray], percent: int = PERCENT, may_link=None) -> Iterator[tuple[int, np.ndarray]]:
+    """A spanning forest of the links between full sets. may_link(set's number, others) can rule out pairs."""
     sizes = np.array([len(s) for s in sets])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     values, at = np.unique(np.concatenate(sets), return_inverse=True)
     mark = np.zeros(len(values), bool)
 
     def linked(k: int, others: np.ndarray) -> np.ndarray:
-        near = (100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k]))
+        near = 100 * np.minimum(sizes[others], sizes[k]) >= percent * np.maximum(sizes[others], sizes[k])
+        if may_link:
+            near &= may_link(k, others)
         out = np.zeros(len(others), bool)
         tried = others[near]
         if len(tried):
