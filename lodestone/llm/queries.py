@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, decontaminate, exact_dedup, near_dedup, sentencepieces, substring_dedup, toxicity, url_filters, warc
+from . import attention_lm, decontaminate, exact_dedup, near_dedup, ngram_quality, sentencepieces, substring_dedup, toxicity, url_filters, warc
 from .common import Scratch, read
 
 #: The public tokenizer's model; operators take any path.
@@ -50,6 +50,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.load(spark, path, payload="digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), Scratch(spark, "op7"))
+
+
 def op8_attention_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attention_lm.score_texts(read(spark, sf_dir, "documents"), crc_fold(5) == 1, PIECES, Scratch(spark, "op8"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op4_exact_dedup": op4_exact_dedup,
     "op5_sentencepiece": op5_sentencepiece,
     "op6_warc": op6_warc,
+    "op7_ngram_quality": op7_ngram_quality,
     "op8_attention_lm": op8_attention_lm,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
