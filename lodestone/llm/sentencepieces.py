@@ -20,6 +20,7 @@ one of the same name.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable, Iterator
 
 import ahocorasick
@@ -34,7 +35,7 @@ from .common import small
 
 SPACE = "▁"
 #: Entries of each of the two generations of a memo, and the longest part that is remembered.
-MEMO = 150_000
+MEMO = 200_000
 LONGEST = 64
 
 
@@ -104,40 +105,34 @@ class Encoder:
         return b"".join(map(self.memo.__getitem__, self.parts.findall(SPACE + text.replace(" ", SPACE))))
 
     def _part(self, part: str) -> bytes:
-        for k in range(len(part) - 1, 0, -1):
-            if part[k - 1 : k + 1] not in self.together:
-                return (self.memo[part[:k]] if k <= LONGEST else self._part_of(part[:k])) + self._part_of(part[k:])
-        return self._part_of(part)
-
-    def _part_of(self, part: str) -> bytes:
-        out: list[int] = []
-        for run in self._runs(part):
-            found = self._prefixes(run)
-            out += self._spelled(run) if found is None else found
-        return np.array(out, "<u4").tobytes()
-
-    def _runs(self, part: str) -> Iterator[str]:
-        start = 0
-        for k in range(1, len(part)):
-            if part[k - 1 : k + 1] not in self.together:
-                yield part[start:k]
-                start = k
-        yield part[start:]
+        together = self.together
+        ends = [k for k in range(1, len(part)) if part[k - 1 : k + 1] not in together]
+        if not ends:
+            return self._whole(part)
+        # Where neighbours occur together in no piece, the parts are encoded alone; they come up again in other words.
+        known = self.memo
+        return b"".join([known[part[a:b]] for a, b in zip([0, *ends], [*ends, len(part)], strict=True)])
+
+    def _whole(self, part: str) -> bytes:
+        found = self._prefixes(part)
+        return array("I", self._spelled(part) if found is None else found).tobytes()
 
     def _prefixes(self, text: str) -> list[int] | None:
         """The table's walk: None where the text has a character that is no piece."""
-        if (whole := self.ids.get(text)) is not None and self._merge(text) == [whole]:
+        whole = self.ids.get(text)
+        if whole is not None and self.alone[whole]:
             return [whole]
         last = [-1] * len(text)
-        length, fits = self.length, self.fits
+        length, fits, size, end_of = self.length, self.fits, self.size, -1
         for end, piece in self.automaton.iter(text):
-            if last[end] < 0:
-                before = end - length[piece]
-                if before < 0:
-                    if self.alone[piece]:
-                        last[end] = piece
-                elif last[before] >= 0 and fits[last[before] * self.size + piece]:
-                    last[end] = piece
+            if end == end_of:
+                continue
+            before = end - length[piece]
+            if before < 0:
+                if self.alone[piece]:
+                    last[end], end_of = piece, end
+            elif (left := last[before]) >= 0 and fits[left * size + piece]:
+                last[end], end_of = piece, end
         out, at = [], len(text) - 1
         while at >= 0:
             if last[at] < 0:
