@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -49,76 +50,94 @@ WHITE = re.compile(r"\s+")
 END, BEGIN = 1, 2
 
 
+@cache
+def _alphabet(lang: str) -> np.ndarray:
+    """Hashes of the basic plane's characters in a language."""
+    return _salted(np.arange(1 << 16, dtype=np.uint64), lang)
+
+
+def _salted(codes: np.ndarray, lang: str) -> np.ndarray:
+    salt = np.uint64(int.from_bytes(lang.encode()[:7], "little"))
+    return mixed(codes * np.uint64(0x9E3779B97F4A7C15) + mixed(np.array([salt]))[0])
+
+
 def characters(text: str | None, lang: str | None) -> np.ndarray:
     """Hashes of the text's characters in its language, after ORDER - 1 begin marks and before an end mark."""
     plain = WHITE.sub(" ", (text or "").lower()).strip()
-    codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    codes = np.concatenate([np.full(ORDER - 1, BEGIN, np.uint64), codes + np.uint64(3), np.full(1, END, np.uint64)])
-    salt = np.uint64(int.from_bytes((lang or "").encode()[:7], "little"))
-    return mixed(codes * np.uint64(0x9E3779B97F4A7C15) + mixed(salt))
+    codes = np.frombuffer(plain.encode("utf-32-le", "surrogatepass"), "<u4") + np.uint32(3)
+    codes = np.concatenate([np.full(ORDER - 1, BEGIN, np.uint32), codes, np.full(1, END, np.uint32)])
+    table = _alphabet(lang or "")
+    return table.take(codes) if codes.max() < len(table) else _salted(codes.astype(np.uint64), lang or "")
 
 
-def grams(chars: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the n characters up to each scored position."""
-    size = len(chars) - ORDER + 1
-    out = np.full(size, n, np.uint64)
-    for k in range(n):
-        out += chars[ORDER - n + k : ORDER - n + k + size] * FACTORS[k]
-    return out
+#: Keys of a position: of its n-grams by falling order, and of their contexts.
+COLUMNS = [f"g{n}" for n in range(ORDER, 0, -1)] + [f"c{n}" for n in range(ORDER - 1, -1, -1)]
+WIDE = ", ".join(f"{c} long" for c in COLUMNS)
 
 
-def contexts(chars: np.ndarray, n: int) -> np.ndarray:
-    """Keys of the n characters before each scored position; unlike any key of n-grams."""
-    size = len(chars) - ORDER + 1
-    out = np.full(size, n + 100, np.uint64)
-    for k in range(n):
-        out += chars[ORDER - 1 - n + k : ORDER - 1 - n + k + size] * FACTORS[k]
-    return out if n else np.full(size, mixed(np.array([100], np.uint64))[0], np.uint64)
+def keys_of(windows: np.ndarray) -> list[np.ndarray]:
+    """COLUMNS of rows of ORDER characters, the last of which is the one that is predicted."""
 
+    def key(mark: int, first: int, end: int) -> np.ndarray:
+        out = np.full(len(windows), mark, np.uint64)
+        for k in range(first, end):
+            out += windows[:, k] * FACTORS[k - first]
+        return out
 
-#: Per position: the keys of its n-grams by falling order, and of their contexts.
-COLUMNS = [f"g{n}" for n in range(ORDER, 0, -1)] + [f"c{n}" for n in range(ORDER - 1, -1, -1)]
-WIDE = ", ".join(f"{c} long" for c in COLUMNS)
+    return [key(n, ORDER - n, ORDER) for n in range(ORDER, 0, -1)] + [key(n + 100, ORDER - 1 - n, ORDER - 1) for n in range(ORDER - 1, -1, -1)]
 
 
-def _keys(chars: np.ndarray) -> list[np.ndarray]:
-    return [grams(chars, n) for n in range(ORDER, 0, -1)] + [contexts(chars, n) for n in range(ORDER - 1, -1, -1)]
+class Grams:
+    """The n-grams of some texts: the distinct windows, and for each position which of these it is."""
 
+    def __init__(self, texts: list[np.ndarray]):
+        chars = np.concatenate(texts)
+        lengths = np.array([len(x) for x in texts])
+        ends = np.cumsum(lengths)
+        size = len(chars) - ORDER + 1
+        top = np.zeros(size, np.uint64)
+        for k in range(ORDER):
+            top += chars[k : k + size] * FACTORS[k]
+        inside = np.ones(size, bool)
+        for k in range(1, ORDER):
+            inside[ends[:-1] - k] = False  # windows that reach into the next text
+        at = np.flatnonzero(inside)
+        self.codes, uniques = pd.factorize(top[at].view(np.int64))
+        first = np.empty(len(uniques), np.int64)
+        first[self.codes[::-1]] = at[::-1]
+        self.windows = np.lib.stride_tricks.sliding_window_view(chars, ORDER)[first]
+        self.counts = lengths - ORDER + 1  # scored positions of each text
 
-def _distinct(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[object, list[np.ndarray], np.ndarray]]:
-    """(block, keys by column of distinct n-grams, counts), a task's texts at a time."""
-    held, block, total = [], None, 0
+    def keys(self) -> list[np.ndarray]:
+        return keys_of(self.windows)
 
-    def flush():
-        columns = [np.concatenate(c) for c in zip(*(_keys(x) for x in held), strict=True)]
-        codes, uniques = pd.factorize(columns[0])
-        first = np.full(len(uniques), -1)
-        first[codes[::-1]] = np.arange(len(codes))[::-1]
-        return [c[first] for c in columns], np.bincount(codes, minlength=len(uniques))
 
+def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[object, Grams]]:
+    """(block, n-grams) of a task's texts, some at a time; blocks are not mixed."""
+    held, block, total = [], None, 0
     for batch in small(batches, 64):
         names = batch.column("block") if "block" in batch.schema.names else None
         for k, (text, lang) in enumerate(zip(batch.column("text"), batch.column("lang"), strict=True)):
             mine = names[k].as_py() if names is not None else None
             if held and (mine != block or total >= size):
-                yield block, *flush()
+                yield block, Grams(held)
                 held, total = [], 0
             block = mine
             held.append(characters(text.as_py(), lang.as_py()))
             total += len(held[-1])
     if held:
-        yield block, *flush()
+        yield block, Grams(held)
 
 
 def _train_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, columns, counts in _distinct(batches, FLUSH):
-        yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(counts)], names=[*COLUMNS, "n"])
+    for _, grams in _gathered(batches, FLUSH):
+        yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in grams.keys()), pa.array(np.bincount(grams.codes))], names=[*COLUMNS, "n"])
 
 
 def _needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: dict = {}
-    for block, columns, _ in _distinct(batches, FLUSH):
-        new = pd.unique(np.concatenate(columns))
+    for block, grams in _gathered(batches, FLUSH):
+        new = pd.unique(np.concatenate(grams.keys()))
         old = seen.get(block)
         if old is not None:
             new = new[~np.isin(new, old)]
@@ -158,14 +177,17 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 def _score(root: str, floor: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, keys, values = None, None, None
-        for batch in small(batches, 64):
-            scores = []
-            for name, text, lang in zip(batch.column("block").to_pylist(), batch.column("text"), batch.column("lang"), strict=True):
-                if name != block or keys is None:
-                    block, (keys, values) = name, _values_of(root, name)
-                scores.append(_perplexity(_keys(characters(text.as_py(), lang.as_py())), keys, values, floor))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(scores, pa.float64())], names=["doc_id", "lang", "perplexity"])
+        block, known = None, None
+        for batch in small(batches, 256):
+            names = batch.column("block").to_pylist()
+            texts = [characters(t.as_py(), lang.as_py()) for t, lang in zip(batch.column("text"), batch.column("lang"), strict=True)]
+            scores = np.empty(len(texts))
+            cuts = [k for k in range(len(names)) if not k or names[k] != names[k - 1]]
+            for start, end in zip(cuts, [*cuts[1:], len(names)], strict=True):
+                if names[start] != block or known is None:
+                    block, known = names[start], _values_of(root, names[start])
+                scores[start:end] = perplexities(Grams(texts[start:end]), *known, floor)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(scores)], names=["doc_id", "lang", "perplexity"])
 
     return run
 
@@ -180,14 +202,18 @@ def _values_of(root: str, block: str) -> tuple[pd.Index, np.ndarray]:
     return pd.Index(table.column("key").to_numpy()), table.column("value").to_numpy()
 
 
-def _perplexity(columns: list[np.ndarray], keys: pd.Index, values: np.ndarray, floor: float) -> float:
+def perplexities(grams: Grams, keys: pd.Index, values: np.ndarray, floor: float) -> np.ndarray:
+    """Of each text; a probability is worked out once for each distinct n-gram."""
+    columns = grams.keys()
     found = [keys.get_indexer(c.view(np.int64)) if len(keys) else np.full(len(c), -1) for c in columns]
     take = lambda at, other: np.where(at >= 0, values[at], other) if len(values) else np.full(len(at), other)
     p = np.full(len(columns[0]), floor)
     for n in range(1, ORDER + 1):
         # A context that was never seen leaves all to the lower order.
         p = take(found[ORDER - n], 0.0) + take(found[ORDER + ORDER - n], 1.0) * p
-    return float(np.exp(-np.log(np.maximum(p, 1e-12)).mean()))
+    log = np.log(np.maximum(p, 1e-12))[grams.codes]
+    starts = np.cumsum(grams.counts) - grams.counts
+    return np.exp(-np.add.reduceat(log, starts) / grams.counts)
 
 
 def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
