@@ -125,3 +125,28 @@ def test_acts(spark, tmp_path):
     assert rows.filter("error is not null").count() == 1
     got = {r.id: r.text for r in acts.sections(rows, F.lit("vos")).collect()}
     assert set(got) == {"VOS_95", "VOS_16B1"} and "pikem" in got["VOS_95"]
+
+
+def test_planning(spark):
+    from lodestone.operators import planning as p
+
+    rows = [
+        ("Kaebuse tähtaeg on möödas, kas saan maksta trahvi osade kaupa?", ["missed_deadline", "challenge_decision", "payment_plan"], True, "urgent"),
+        ("Mida teha?", ["next_steps"], False, "normal"),
+        ("Kas see on nii?", ["rights_explanation"], False, "normal"),
+        ("Ta ähvardab ja tähtaeg on ületatud", ["missed_deadline", "challenge_decision"], False, "immediate"),
+        (None, [], False, "normal"),
+    ]
+    got = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k int, x string").select("k", p.intents("x").alias("i"), p.is_fine("x").alias("f"), p.urgency("x", F.lit("2026-08-01").cast("date")).alias("u")).orderBy("k").collect()
+    assert [(r.i, r.f, r.u) for r in got] == [r[1:] for r in rows]
+    one = spark.createDataFrame([("Sain kiirmenetluse otsuse ja trahv 1 200 või 1500,50 eurot; tähtaeg 5.8.2026", "jah")], "a string, b string")
+    row = one.select(
+        p.fine_document("a").alias("d"), p.large_amount("a").alias("m"), p.routes("a", F.array(F.lit("payment_plan")), F.lit(True)).alias("r"), p.is_fragment("b").alias("g"),
+        p.urgency(F.lit("tähtaeg 5.8.2026"), F.lit("2026-08-01").cast("date")).alias("u"), p.asks_identifier(F.lit("Mis on sinu täpne nimi?")).alias("n"), p.is_direct_question(F.lit("Kuidas edasi?")).alias("q"),
+    ).first()
+    assert row.d == "kiirmenetluse otsus" and row.m == "1500,50 eurot" and row.g and row.u == "attention" and row.n and row.q
+    assert row.r == ["ABIPOLS_3", "ABIPOLS_16", "VTMS_19", "VTMS_57", "VTMS_114", "KARS_66", "VTMS_74", "VTMS_204"]
+    cards = spark.createDataFrame([(1, 1, "a", True), (1, 2, "b", False), (1, 3, None, False)], "id int, revision int, title string, user_confirmed boolean")
+    assert [tuple(r) for r in p.latest_cards(cards, "id", "revision", ["title"]).collect()] == [(1, 3, "a")]
+    changes = spark.createDataFrame([(1, 3), (1, 2), (9, 1)], "id int, base int")
+    assert sorted(r.accepted for r in p.apply_revisions(p.latest_cards(cards, "id", "revision", ["title"]), changes, "id", "base").collect()) == [False, False, True]
