@@ -22,19 +22,20 @@ def score(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, i
     terms = ix.postings(docs, id_col, text_col)
     prefixes = ix.prefix_postings(terms)
     asked = ix.query_terms(queries, query_id, query_text)
-    stats = F.broadcast(ix.length_stats(docs, id_col, text_col))  # one row
+    stats = ix.length_stats(docs, id_col, text_col).first()  # two numbers
+    n_docs, average = F.lit(stats["n_docs"]), F.lit(stats["avg_length"])
     found = ix.matches(terms, prefixes, asked)
     wanted = asked.select("term").distinct()
-    rarity = ix.doc_frequency(terms).join(wanted, "term", "left_semi").crossJoin(stats).select("term", ix.idf(F.col("n_docs"), F.col("df")).alias("idf"))
+    rarity = ix.doc_frequency(terms).join(wanted, "term", "left_semi").select("term", ix.idf(n_docs, F.col("df")).alias("idf"))
     starts = ix.doc_frequency(prefixes).join(wanted.select(F.left("term", F.lit(5)).alias("term")).distinct(), "term", "left_semi")
-    starts = starts.crossJoin(stats).select(F.col("term").alias("prefix"), ix.idf(F.col("n_docs"), F.col("df")).alias("pidf"))
+    starts = starts.select(F.col("term").alias("prefix"), ix.idf(n_docs, F.col("df")).alias("pidf"))
     scored = found.join(rarity, "term", "left").withColumn("prefix", F.left("term", F.lit(5))).join(starts, "prefix", "left")
     zero = F.lit(0).cast(ix.SCORE)
     body = F.when(F.col("eb"), _capped(BODY, F.col("idf"))).when(F.col("pb"), _capped(BODY_STEM, F.col("pidf"))).otherwise(zero)
     heading = F.when(F.col("eh"), _capped(HEADING, F.col("idf"))).when(F.col("ph"), _capped(HEADING_STEM, F.col("pidf"))).otherwise(zero)
     sums = scored.groupBy("query_id", "doc_id").agg(F.sum((body + heading).cast(ix.SCORE)).alias("raw"), F.count_distinct(F.when(F.length("term") >= 3, F.left("term", F.lit(5)))).alias("matched"))
-    factor = F.greatest(F.lit(0.65), F.least(F.lit(1.25), F.lit(1.1) / (F.lit(0.6) + F.lit(0.4) * F.col("length") / F.col("avg_length"))))
-    out = sums.join(ix.lengths(docs, id_col, text_col), "doc_id").crossJoin(stats)
+    factor = F.greatest(F.lit(0.65), F.least(F.lit(1.25), F.lit(1.1) / (F.lit(0.6) + F.lit(0.4) * F.col("length") / average)))
+    out = sums.join(ix.lengths(docs, id_col, text_col), "doc_id")
     # Narrow types keep all nine decimals of the sum.
     whole = F.col("raw").cast("decimal(20,9)") + (PER_STEM * F.col("matched")).cast("decimal(10,0)") + F.when(F.col("matched") >= 2, BOTH).otherwise(0)
     return out.select("query_id", "doc_id", F.round(whole.cast("decimal(22,9)") * F.round(factor, 9).cast("decimal(12,9)"), 6).cast("decimal(18,6)").alias("score"), "matched")

@@ -121,8 +121,8 @@ def fold_tokens(spark, sf_dir):
 @query(f"WITH {BASE} SELECT post.term, count(*) AS df, any_value(round(df.idf, 6)) AS idf FROM post JOIN df USING (term) WHERE b = 1 GROUP BY post.term")
 def term_df_idf(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    stats = F.broadcast(ix.length_stats(docs))
-    return ix.doc_frequency(ix.postings(docs)).crossJoin(stats).select("term", "df", F.round(ix.idf(F.col("n_docs"), F.col("df")), 6).alias("idf"))
+    n = F.lit(ix.length_stats(docs).first()["n_docs"])
+    return ix.doc_frequency(ix.postings(docs)).select("term", "df", F.round(ix.idf(n, F.col("df")), 6).alias("idf"))
 
 
 @query(f"WITH {BASE} SELECT term AS prefix, count(*) AS df FROM pre WHERE b = 1 GROUP BY term")
