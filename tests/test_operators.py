@@ -150,3 +150,35 @@ def test_planning(spark):
     assert [tuple(r) for r in p.latest_cards(cards, "id", "revision", ["title"]).collect()] == [(1, 3, "a")]
     changes = spark.createDataFrame([(1, 3), (1, 2), (9, 1)], "id int, base int")
     assert sorted(r.accepted for r in p.apply_revisions(p.latest_cards(cards, "id", "revision", ["title"]), changes, "id", "base").collect()) == [False, False, True]
+
+
+def test_provenance(spark, tmp_path):
+    import json
+
+    from lodestone.operators import provenance as pv
+
+    case = {"source_kind": "case_law", "id": "CASE_3-1_X", "court_name": "Riigikohus \"a\"/b", "case_number": "3-1", "decision_date": "2024-02-29", "decision_type": "otsus", "court_level": "3", "canonical_url": "https://x.ee/a", "text": "Õ\n\tpikk tekst mis on üle kahekümne nelja märgi"}
+    good = hashlib.sha256(json.dumps(case, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    rows = [case | {"record_sha256": good}, case | {"id": "CASE_B_1", "record_sha256": good}]
+    frame = lambda r: spark.createDataFrame(r, ", ".join(f"{c} string" for c in [*pv.CASE_FIELDS, "record_sha256"]))
+    assert [r.verified for r in pv.verify_case_law(frame([tuple(r[c] for c in [*pv.CASE_FIELDS, "record_sha256"]) for r in rows])).collect()] == [True, False]
+    assert [r.verified for r in pv.verify_case_law(frame([tuple(rows[0][c] for c in [*pv.CASE_FIELDS, "record_sha256"])] * 2)).collect()] == [False, False]
+    schema = "id string, display_name string, source_group string, authority_class string, source_kind string, jurisdiction string, canonical_hosts array<string>, allowed_claim_classes array<string>"
+    sources = spark.createDataFrame([("A_1", "n", "g", "binding_local_law", "k", "EE", ["a.ee"], ["binding_rule"]), ("b", "n", "g", "nope", "k", "", ["..x"], ["court_holding"])], schema)
+    assert {(r.id, r.rule) for r in pv.registry_violations(sources).collect()} == {("b", x) for x in ("id", "missing_jurisdiction", "authority", "hosts", "claims")}
+    claims = spark.createDataFrame([("a_1", "binding_rule", "https://A.ee/x"), ("A_1", "binding_rule", "http://a.ee"), ("A_1", "court_holding", "https://a.ee"), ("A_1", "binding_rule", "https://u:p@a.ee")], "source_id string, claim_class string, url string")
+    assert [r.url for r in pv.supported_claims(claims, sources).collect()] == ["https://A.ee/x"]
+    row = spark.range(1).select(
+        pv.binding_class(F.lit("RT I"), F.lit("Seadus")).alias("a"), pv.binding_class(F.lit("RT IV"), F.lit("seadus")).alias("b"), pv.binding_class(F.lit("RT IV"), F.lit("valla määrus")).alias("c"),
+        pv.similar_questions(F.lit("Millal said otsuse kätte?"), F.lit("millal SAID selle otsuse kätte")).alias("s"), pv.case_id(F.lit("3-1/2"), F.lit("2024-01-01"), F.lit("otsus")).alias("id"),
+        pv.status(F.lit(False), F.array(F.lit("EVIDENCE_VERIFIED")), F.array(F.lit("law")), F.lit(True)).alias("v"),
+        pv.grounded_items(F.array(F.struct(F.lit("Üür tõusis").alias("evidence"), F.lit("x").alias("value")), F.struct(F.lit("puudub").alias("evidence"), F.lit("x").alias("value"))), F.lit("üür  TÕUSIS"), 5).alias("g"),
+    ).first()
+    assert row.a.source_id == "RT_NATIONAL_LAW" and row.b is None and row.c.authority == "binding_local_law"
+    assert row.s and row.id == "CASE_3-1_2_2024-01-01_OTSUS" and row.v == "EVIDENCE_VERIFIED" and len(row.g) == 1
+    corpus_ = spark.createDataFrame([(1, "a"), (2, "b")], "doc_id long, text string")
+    vectors = spark.createDataFrame([(1, "h", [1.0]), (2, "h", [2.0])], "id long, content_hash string, vector array<double>")
+    pv.write_index(vectors, corpus_, str(tmp_path / "ix"), "m", 1)
+    assert pv.open_index(corpus_, str(tmp_path / "ix"), "m").count() == 2
+    with pytest.raises(corpus.CorpusError, match="corpus, rows"):
+        pv.open_index(corpus_.filter("doc_id = 1"), str(tmp_path / "ix"), "m")
