@@ -35,7 +35,7 @@ from .common import small
 
 SPACE = "▁"
 #: Entries of each of the two generations of a memo, and the longest part that is remembered.
-MEMO = 200_000
+MEMO = 150_000
 LONGEST = 64
 
 
@@ -221,15 +221,15 @@ def _adding(df: DataFrame, source: str, column: str, kind: T.DataType, arrow: pa
     return df.mapInArrow(run, schema)
 
 
-_loaded: dict[int, tuple] = {}
+_loaded: dict[type, tuple[int, object]] = {}
 
 
 def _once(kind: type, shared) -> object:
-    """One encoder or decoder for each worker process and model."""
-    key = (kind, shared.id if hasattr(shared, "id") else id(shared))
-    if key not in _loaded:
-        _loaded[key] = kind(shared.value)
-    return _loaded[key]
+    """A worker process keeps the encoder and the decoder of the last model only."""
+    if _loaded.get(kind, (None,))[0] != shared.id:
+        _loaded.pop(kind, None)
+        _loaded[kind] = shared.id, kind(shared.value)
+    return _loaded[kind][1]
 
 
 def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", begin: bool = True, end: bool = True) -> DataFrame:
