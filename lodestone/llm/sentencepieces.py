@@ -19,6 +19,7 @@ one of the same name.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from array import array
 from collections.abc import Callable, Iterator
@@ -44,6 +45,7 @@ def model_tables(model_file: str) -> dict:
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     ids = range(model.get_piece_size())
     return {
+        "name": hashlib.sha256(model.serialized_model_proto()).hexdigest(),
         "pieces": [model.id_to_piece(i) for i in ids],
         "scores": [model.get_score(i) for i in ids],
         "plain": [not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)) for i in ids],
@@ -221,14 +223,15 @@ def _adding(df: DataFrame, source: str, column: str, kind: T.DataType, arrow: pa
     return df.mapInArrow(run, schema)
 
 
-_loaded: dict[type, tuple[int, object]] = {}
+_loaded: dict[type, tuple[str, object]] = {}
 
 
 def _once(kind: type, shared) -> object:
-    """A worker process keeps the encoder and the decoder of the last model only."""
-    if _loaded.get(kind, (None,))[0] != shared.id:
+    """A worker process keeps the encoder and the decoder of the last model only, over all of its tasks."""
+    name = shared.value["name"]
+    if _loaded.get(kind, ("",))[0] != name:
         _loaded.pop(kind, None)
-        _loaded[kind] = shared.id, kind(shared.value)
+        _loaded[kind] = name, kind(shared.value)
     return _loaded[kind][1]
 
 
