@@ -60,10 +60,11 @@ def _best(shared, k: int, with_self: bool):
         for batch in batches:
             lists = batch.column("v")
             docs = batch.column("doc_id").to_numpy()
-            right = np.flatnonzero(np.diff(lists.offsets.to_numpy()) == units.shape[1])
+            lengths = np.diff(lists.offsets.to_numpy())
+            right = np.flatnonzero(lengths == units.shape[1])
             if not len(right):
                 continue
-            m = np.array([lists[int(i)].as_py() for i in right])
+            m = lists.flatten().to_numpy()[np.repeat(lengths == units.shape[1], lengths)].reshape(len(right), -1)
             score = np.round(units @ _unit(m).T, 6)
             if not with_self:
                 score[ids[:, None] == docs[right][None, :]] = -np.inf
