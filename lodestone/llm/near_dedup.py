@@ -231,12 +231,13 @@ def _by(df: DataFrame, key: str) -> DataFrame:
 
 def leaves(reps: DataFrame, scratch: Scratch, leaf: int = LEAF) -> DataFrame:
     """(node, doc) rows of all leaves with two documents or more. reps: (doc, signature)."""
-    found, open_rows = [], reps
+    found, open_rows, spent = [], reps, []
     for level in range(DEPTH + 1):
         # Different trees and parents may choose the same child; a row counts once.
         rows = scratch.cut(open_rows.mapInArrow(_children(level), "node long, doc long"), f"level{level}")
         sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         sizes = scratch.cut(sizes, f"sizes{level}")
+        spent += [rows, sizes]
         found.append(rows.join(sizes.filter(F.col("n") <= leaf), "node", "left_semi"))
         large = sizes.filter(F.col("n") > leaf)
         if not large.limit(1).count():
@@ -252,7 +253,10 @@ def leaves(reps: DataFrame, scratch: Scratch, leaf: int = LEAF) -> DataFrame:
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return scratch.cut(out, "leaves")
+    out = scratch.cut(out, "leaves")
+    for table in spent:
+        scratch.drop(table)
+    return out
 
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
