@@ -7,9 +7,9 @@ Jaccard similarity of their sets is at least `percent` / 100, and the result is
 1. One pass over the texts gives, for each, the size and digest of its set and a signature of 128 minwise tokens. Equal
    sets become one class with the smallest doc_id as its representative; only representatives go on.
 2. Chosen paths: `TREES` independent trees branch every representative by the tokens at coordinates that the node
-   selects (`BRANCH` of them down to level `WIDE`, and 1 / similarity on average below). Nodes of one document end. Nodes of at most `LEAF`
+   selects (`BRANCH` at the root, 1 / similarity on average below). Nodes of one document end. Nodes of at most `LEAF`
    documents are leaves; larger ones branch again, level by level. All trees miss a link at the threshold with a
-   probability of 6e-8 where leaves hang at the root, 3e-5 one level below and 2e-4 two below, and less above the
+   probability of 6e-8 where leaves hang at the root, 5e-4 one level below and 5e-3 two below, and less above the
    threshold. Levels are deep only where groups are large, and there a document has many links, of which one suffices.
 3. In a leaf all signatures are compared, exhaustively. Documents whose estimate comes within the slack of the threshold
    are joined to candidate clusters: a spanning tree of each leaf, then components over all leaves.
@@ -45,8 +45,8 @@ SHINGLE = 5
 PERCENT = 75
 TOKENS = 128
 TREES = 6
-BRANCH, WIDE = 2, 3
-LEAF = 1024
+BRANCH = 2
+LEAF = 2048
 DEPTH = 16
 #: Standard deviations of a signature's estimate below the threshold that still make a candidate.
 SLACK = 4.0
@@ -112,8 +112,7 @@ def _children(level: int):
             if level:
                 nodes = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
                 drawn = mixed(mixed(nodes)[:, None] + coordinates[None, :] * np.uint64(0x9E3779B97F4A7C15))
-                picks = BRANCH if level <= WIDE else 100 / PERCENT
-                rows, at = np.nonzero(drawn < np.uint64(int(2**64 / TOKENS * picks)))
+                rows, at = np.nonzero(drawn < np.uint64(int(2**64 / (TOKENS * PERCENT / 100))))
                 parents = nodes[rows]
             else:  # the roots: every document is in each tree
                 picks = [(t, c) for t in range(TREES) for c in np.random.default_rng(t + 1).choice(TOKENS, BRANCH, replace=False)]
