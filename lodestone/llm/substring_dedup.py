@@ -12,7 +12,9 @@ place in both, with the whole paragraph inside the passage. A text shorter than
 2. Paragraphs of equal sets are one class, by a map-side combined count of digests; whole copies end here.
 3. Bands are joined over all blocks by one shuffle; rows of a band stream by in order, each linked to the first.
 4. Colliding classes form candidate clusters by connected components. Their shingle sets are made again from the text of
-   one paragraph each, and compared breadth-first on exact Jaccard similarity (`PERCENT`).
+   one paragraph each, and compared breadth-first on exact Jaccard similarity (`PERCENT`). A cluster of at most `CLUSTER`
+   classes meets in one task. In a larger one all classes of a band value meet, so that every colliding pair is compared;
+   a band value of very many classes is dealt into parts, and each two of its parts meet in a task of their own.
 5. Components of the confirmed links are the clusters: the paragraph of the smallest (doc_id, position) stays, the others
    are removals. Overlapping paragraphs of a document are merged into spans.
 
@@ -39,7 +41,7 @@ from .near_dedup import FACTORS, PERCENT, SHINGLE, _groups, confirmed, mixed
 LENGTH, REACH, LEAST = 24, 25, 12
 BANDS, ROWS = 4, 2
 BLOCK_WORDS = 1_500_000
-#: Distinct sets of one candidate cluster that are compared in one task.
+#: Distinct sets of one candidate cluster or band value that are compared in one task.
 CLUSTER = 2048
 _rng = np.random.default_rng(31)
 MINWISE = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -155,6 +157,23 @@ def _link_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digest[linked]), pa.array(first[linked])], names=["a", "b"])
 
 
+def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, band) rows of a document's wanted paragraphs."""
+    for batch in small(batches, 64):
+        digests, found = [np.empty(0, np.int64)], [np.empty((0, BANDS), np.uint64)]
+        for wanted, utf8 in zip(batch.column("wanted").to_pylist(), utf8_rows(batch, "text"), strict=True):
+            words = hashed(utf8)
+            at = np.intersect1d(anchors(words), [w["start"] for w in wanted])
+            if len(at):
+                digest, bands = _marks(words, at)
+                asked = {(w["start"], w["digest"]) for w in wanted}
+                right = np.array([pair in asked for pair in zip(at.tolist(), digest.tolist(), strict=True)])
+                digests.append(digest[right])
+                found.append(bands[right])
+        digest, bands = np.concatenate(digests), np.concatenate(found)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(digest, BANDS)), pa.array(bands.ravel().view(np.int64))], names=["digest", "band"])
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The shingle sets of a document's wanted paragraphs."""
     for batch in small(batches, 64):
@@ -165,10 +184,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 made = paragraph_set(words, w["start"])
                 # Rows that share a doc_id may differ in text: only the paragraph of the digest counts.
                 if len(made) and _digest(made) == w["digest"]:
-                    out.append((w["key"], w["digest"], doc, w["start"], made.tobytes()))
+                    out.append((w["keys"], w["digest"], doc, w["start"], made.tobytes()))
         columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "digest", "doc", "start", "shingles"])
+        kinds = (pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["keys", "digest", "doc", "start", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +200,20 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*pairs, strict=True)], names=["a", "b"])
 
 
+def _keys_by_band(texts: DataFrame, wide: DataFrame) -> DataFrame:
+    """digest, keys of the groups in which it meets every other class that shares a band with it."""
+    wanted = wide.groupBy("doc").agg(F.collect_list(F.struct("start", "digest")).alias("wanted"))
+    bands = texts.join(wanted, "doc").mapInArrow(_bands, "digest long, band long").distinct()
+    parts = F.ceil(2 * F.col("m") / CLUSTER)
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", F.when(F.col("m") > CLUSTER, parts).otherwise(1).alias("parts"))
+    own = F.pmod(F.xxhash64("digest"), F.col("parts"))
+    # Each two parts make a group, which compares the pairs inside both as well.
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: (k != F.col("own")) | (F.col("parts") == 1))
+    keys = F.transform(others, lambda k: F.xxhash64("band", F.least(k, F.col("own")), F.greatest(k, F.col("own"))))
+    dealt = bands.join(sizes, "band").withColumn("own", own).select("digest", F.explode(keys).alias("key"))
+    return dealt.groupBy("digest").agg(F.collect_set("key").alias("keys"))
+
+
 def repeated_paragraphs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, n_words, keep_doc_id, keep_start and removed of every paragraph that repeats; positions in words."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -196,14 +229,16 @@ def repeated_paragraphs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id
     counted = units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start")).alias("first"))
     classes = scratch.cut(counted.join(clusters, "digest", "left").filter("n > 1 or gid is not null"), "classes")
 
-    # A cluster of very many classes is dealt into groups that share its first class.
-    grouped = classes.filter("gid is not null")
-    sizes = grouped.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    groups = F.greatest(F.lit(1), F.ceil(2 * F.col("m") / CLUSTER))
-    every = F.when(F.col("digest") == F.col("gid"), F.sequence(F.lit(0).cast("long"), groups - 1)).otherwise(F.array(F.pmod(F.xxhash64("digest"), groups)))
-    dealt = grouped.join(sizes, "gid").select("digest", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), F.explode(every).alias("part"), "gid")
-    wanted = dealt.groupBy("doc").agg(F.collect_list(F.struct("start", "digest", F.xxhash64("gid", "part").alias("key"))).alias("wanted"))
-    sets = texts.join(wanted, "doc").mapInArrow(_sets, "key long, digest long, doc long, start int, shingles binary")
+    grouped = classes.filter("gid is not null").select("digest", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "gid")
+    sizes = grouped.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gid", (F.col("m") > CLUSTER).alias("wide"))
+    sized = scratch.cut(grouped.join(sizes, "gid"), "sized")
+    keyed, wide = sized.filter("not wide").select("digest", "doc", "start", F.array("gid").alias("keys")), sized.filter("wide")
+    if wide.limit(1).count():
+        keys = scratch.cut(_keys_by_band(texts, wide), "keys")
+        keyed = keyed.unionByName(wide.join(keys, "digest").select("digest", "doc", "start", "keys"))
+    wanted = keyed.groupBy("doc").agg(F.collect_list(F.struct("start", "digest", "keys")).alias("wanted"))
+    sets = texts.join(wanted, "doc").mapInArrow(_sets, "keys array<long>, digest long, doc long, start int, shingles binary")
+    sets = sets.select(F.explode("keys").alias("key"), "digest", "doc", "start", "shingles")
     links = scratch.cut(sets.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_confirm, "a long, b long"), "links")
     near = scratch.cut(components(links, scratch).select(F.col("node").alias("digest"), F.col("component").alias("root")), "near")
 

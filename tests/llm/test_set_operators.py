@@ -127,6 +127,18 @@ def test_every_long_repeat_is_found(spark):
     assert substring_dedup.repeated_paragraphs(docs_of(spark, []), Scratch(spark, "t")).count() == 0
 
 
+def test_similar_paragraphs_of_a_large_cluster_meet(spark, monkeypatch):
+    """Short texts of one template (similarity 0.5 and less) chain into one candidate cluster; two of each differ in their last word only."""
+    rnd = random.Random(12)
+    template, rows = prose(rnd, 15), []
+    for k in range(200):
+        own = prose(rnd, 4)
+        rows += [(2 * k, " ".join([*template, *own, f"a{k}"])), (2 * k + 1, " ".join([*template, *own, f"b{k}"]))]
+    monkeypatch.setattr(substring_dedup, "CLUSTER", 32)
+    got = {r.doc_id: r.keep_doc_id for r in substring_dedup.repeated_paragraphs(docs_of(spark, rows), Scratch(spark, "t")).collect()}
+    assert sum(got.get(2 * k + 1) == 2 * k for k in range(200)) >= 196
+
+
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("org", "/fr/", "allow")]
 
 
