@@ -7,10 +7,10 @@ Jaccard similarity of their sets is at least `percent` / 100, and the result is
 1. One pass over the texts gives, for each, the size and digest of its set and a signature of 128 minwise tokens. Equal
    sets become one class with the smallest doc_id as its representative; only representatives go on.
 2. Chosen paths: `TREES` independent trees branch every representative by the tokens at coordinates that the node
-   selects (`BRANCH` at the root, 1 / similarity on average below). Nodes of one document end. Nodes of at most `LEAF`
-   documents are leaves; larger ones branch again, level by level. All trees miss a link at the threshold with a
-   probability of 6e-8 where leaves hang at the root, 5e-4 one level below and 5e-3 two below, and less above the
-   threshold. Levels are deep only where groups are large, and there a document has many links, of which one suffices.
+   selects (`BRANCH` at the root, `BRANCH` / similarity on average below). Nodes of one document end. Nodes of at most
+   `LEAF` documents are leaves; larger ones branch again, level by level. A pair at the threshold shares two children a
+   node on average, so that its branching does not die out: all trees miss it with a probability of 6e-8 where leaves
+   hang at the root, 4e-6 one level below and less than 2e-5 at any depth, and still less above the threshold.
 3. In a leaf all signatures are compared, exhaustively. Documents whose estimate comes within the slack of the threshold
    are joined to candidate clusters: a spanning tree of each leaf, then components over all leaves.
 4. Links are confirmed on full sets, which are made again from the texts of candidates only. A cluster of bounded size
@@ -18,8 +18,8 @@ Jaccard similarity of their sets is at least `percent` / 100, and the result is
    that no link has reached yet, so a large group of near copies needs few comparisons and never all of its pairs.
 5. Components of the confirmed links give component_id, the smallest doc_id reachable.
 
-A node that stays large after `DEPTH` levels has documents that agree on about all tokens: it is dealt into leaves that
-share its first document.
+A node whose children would have as many pairs as itself (documents of a template, or near copies), or that stays large
+after `DEPTH` levels, is compared exhaustively instead: it is dealt into parts, and each two of its parts make a leaf.
 
 Edge cases: texts without words, and null texts, have an empty set, no link and keep themselves. Copies (equal sets) are
 linked. Rows without doc_id take part as copies only: they get the component of their set if a row with an id has it, else null. Rows that
@@ -102,7 +102,7 @@ def _sketches(text_col: str):
 
 
 def _children(level: int):
-    """(node, doc) rows from rows of (node, doc, signature): a node's children, each named by node, coordinate and token."""
+    """(node, parent, doc) rows from rows of (node, doc, signature): a node's children, each named by node, coordinate and token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coordinates = np.arange(TOKENS, dtype=np.uint64)
@@ -112,7 +112,7 @@ def _children(level: int):
             if level:
                 nodes = batch.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
                 drawn = mixed(mixed(nodes)[:, None] + coordinates[None, :] * np.uint64(0x9E3779B97F4A7C15))
-                rows, at = np.nonzero(drawn < np.uint64(int(2**64 / (TOKENS * PERCENT / 100))))
+                rows, at = np.nonzero(drawn < np.uint64(int(2**64 * BRANCH / (TOKENS * PERCENT / 100))))
                 parents = nodes[rows]
             else:  # the roots: every document is in each tree
                 picks = [(t, c) for t in range(TREES) for c in np.random.default_rng(t + 1).choice(TOKENS, BRANCH, replace=False)]
@@ -120,7 +120,7 @@ def _children(level: int):
                 at = np.tile(np.array([c for _, c in picks]), len(docs))
                 parents = np.tile(np.array([t for t, _ in picks], np.uint64), len(docs))
             name = mixed(mixed(parents + np.uint64(level * 7 + 1)) ^ mixed(at.astype(np.uint64) * np.uint64(65_537) + tokens[rows, at] + np.uint64(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(docs[rows])], names=["node", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(parents.view(np.int64)), pa.array(docs[rows])], names=["node", "parent", "doc"])
 
     return run
 
@@ -228,25 +228,39 @@ def _by(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key)
 
 
+def _parts(kept: DataFrame, leaf: int) -> DataFrame:
+    """(node, doc) rows of leaves in which all documents of a node meet. kept: (node, n, doc), n more than leaf."""
+    parts = F.ceil(2 * F.col("n") / leaf)
+    dealt = kept.select("node", "doc", parts.alias("parts"), F.pmod(F.xxhash64("doc"), parts).alias("own"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: k != F.col("own"))
+    names = F.transform(others, lambda k: F.xxhash64("node", F.least(k, F.col("own")), F.greatest(k, F.col("own"))))
+    return dealt.select(F.explode(names).alias("node"), "doc")
+
+
 def leaves(reps: DataFrame, scratch: Scratch, leaf: int = LEAF) -> DataFrame:
     """(node, doc) rows of all leaves with two documents or more. reps: (doc, signature)."""
-    found, open_rows, spent = [], reps, []
+    found, open_rows, spent, kept, large = [], reps, [], None, None
     for level in range(DEPTH + 1):
-        # Different trees and parents may choose the same child; a row counts once.
-        rows = scratch.cut(open_rows.mapInArrow(_children(level), "node long, doc long"), f"level{level}")
-        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        rows = scratch.cut(open_rows.mapInArrow(_children(level), "node long, parent long, doc long"), f"level{level}")
+        sizes = rows.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.first("parent").alias("parent")).filter("n > 1")
         sizes = scratch.cut(sizes, f"sizes{level}")
         spent += [rows, sizes]
-        found.append(rows.join(sizes.filter(F.col("n") <= leaf), "node", "left_semi"))
-        large = sizes.filter(F.col("n") > leaf)
+        if level:
+            # A token of the path may be selected again: such a child is its parent once more, and counts only if there is no other.
+            both = sizes.select("parent", F.col("n").alias("m")).join(large.select(F.col("node").alias("parent"), "n"), "parent")
+            work = both.groupBy("parent", "n").agg(F.sum(F.when(F.col("m") < F.col("n"), F.col("m").cast("double") * F.col("m"))).alias("work"))
+            stuck = work.filter(F.coalesce("work", F.pow("n", F.lit(2))) >= F.pow("n", F.lit(2))).select(F.col("parent").alias("node"))
+            stuck = scratch.cut(stuck, f"stuck{level}")
+            spent.append(stuck)
+            found.append(_parts(kept.join(stuck, "node", "left_semi"), leaf))
+            sizes = sizes.join(stuck.select(F.col("node").alias("parent")), "parent", "left_anti")
+        found.append(rows.join(sizes.filter(F.col("n") <= leaf), "node", "left_semi").select("node", "doc"))
+        large = sizes.filter(F.col("n") > leaf).select("node", "n")
         if not large.limit(1).count():
             break
-        kept = rows.join(large, "node")
+        kept = rows.join(large, "node").select("node", "n", "doc")
         if level == DEPTH:
-            chunk = F.xxhash64("node", F.pmod(F.xxhash64("doc"), F.ceil(2 * F.col("n") / leaf)))
-            first = kept.groupBy("node").agg(F.min("doc").alias("doc"), F.first("n").alias("n"))
-            shares = first.select(F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(2 * F.col("n") / leaf) - 1)).alias("k"), "node", "doc")
-            found.append(kept.select(chunk.alias("node"), "doc").unionByName(shares.select(F.xxhash64("node", "k").alias("node"), "doc")).distinct())
+            found.append(_parts(kept, leaf))
             break
         open_rows = kept.select("node", "doc").join(reps, "doc").select("node", "doc", "signature")
     out = found[0]

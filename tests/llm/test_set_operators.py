@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -97,6 +98,39 @@ def test_near_duplicates_in_small_leaves_and_wide_clusters(spark, monkeypatch):
     assert sum(got[i] == wanted[i] for i in wanted) >= 0.97 * len(wanted)
 
 
+def test_pairs_at_the_threshold_survive_eight_levels():
+    rng = np.random.default_rng(6)
+    signatures = {}
+    for k in range(40):
+        one = rng.integers(0, 2**16, near_dedup.TOKENS, dtype=np.uint16)
+        other = one.copy()
+        other[rng.choice(near_dedup.TOKENS, near_dedup.TOKENS // 4, replace=False)] += np.uint16(1)
+        signatures[2 * k], signatures[2 * k + 1] = one.tobytes(), other.tobytes()
+    open_rows = [(0, doc) for doc in signatures]
+    for level in range(9):
+        node, doc = (pa.array([r[k] for r in open_rows], pa.int64()) for k in (0, 1))
+        batch = pa.RecordBatch.from_arrays([node, doc, pa.array([signatures[d] for _, d in open_rows], pa.binary())], names=["node", "doc", "signature"])
+        rows = {(r["node"], r["doc"]) for part in near_dedup._children(level)(iter([batch])) for r in part.to_pylist()}
+        open_rows = sorted((n, d) for n, d in rows if (n, d ^ 1) in rows)
+    assert {d for _, d in open_rows} == set(signatures)
+
+
+def test_all_documents_of_a_template_meet(spark):
+    """Documents that share about nine tokens in ten: branching does not part them, so each two have to meet in some leaf."""
+    rng = np.random.default_rng(7)
+    template, docs = rng.integers(0, 2**16, near_dedup.TOKENS, dtype=np.uint16), []
+    for k in range(120):
+        own = template.copy()
+        own[rng.random(near_dedup.TOKENS) < 0.1] = rng.integers(0, 2**16)
+        docs.append((k, bytearray(own.tobytes())))
+    rows = near_dedup.leaves(spark.createDataFrame(docs, "doc long, signature binary"), Scratch(spark, "t"), 16).collect()
+    leaves = {}
+    for r in rows:
+        leaves.setdefault(r.node, set()).add(r.doc)
+    assert max(map(len, leaves.values())) <= 64
+    assert len({(a, b) for docs in leaves.values() for a in docs for b in docs if a < b}) == 120 * 119 // 2
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c"), (None, "lone one"), (4, "a b c"), (3, "a B c"), (3, "other words here"), (9, "other words here")]
     got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs_of(spark, rows), Scratch(spark, "t")).collect()}
