@@ -249,6 +249,19 @@ def test_attention_scores_every_token_once():
     assert abs(np.exp(model.log_probs(h, np.zeros(size, np.int64), np.arange(size))).sum() - 1) < 1e-4
 
 
+def test_attention_trains_on_every_id(monkeypatch):
+    rng = np.random.default_rng(3)
+    size = attention_lm.TOP + 150
+    texts = [rng.integers(3, 60, n) for n in (0, 1, 12, 63, 64, 200)]
+    contexts = attention_lm.Contexts(np.bincount(np.concatenate(texts), minlength=size))
+    n = attention_lm.TOP + 1
+    model = attention_lm.Attention(size, 1, 2, contexts, attention_lm.tables_of(contexts, np.ones((n, n)), np.zeros((0, n))))
+    seen, gradients = [], model.gradients
+    monkeypatch.setattr(model, "gradients", lambda x, context, y, keep: seen.append(y[keep]) or gradients(x, context, y, keep))
+    model.train(iter(texts))
+    assert np.array_equal(np.sort(np.concatenate(seen)), np.sort(np.concatenate([*texts, [2] * len(texts)])))
+
+
 def test_lm_scores_rows(spark):
     rnd = random.Random(4)
     rows = [(i, " ".join(prose(rnd, rnd.randint(0, 120)))) for i in range(60)] + [(200, None), (201, ""), (None, "banar")]
