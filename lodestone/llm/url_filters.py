@@ -14,7 +14,7 @@ rules are a parameter of the caller (a literal expression), not a table.
 
 Edge cases: a null URL, or one without ://, has an empty host and path, fits no rule, and is allowed unless its html links
 it to a blocked class. Null html mentions nothing. Rows with a null page_id are judged by their own URL alone. Rows that repeat a page_id are one node but
-are judged each by its own URL. Relative targets resolve against the page's host. Other columns are ignored.
+are judged each by its own URL. Relative targets resolve against the page's URL, &amp; in targets counts as &. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -57,13 +57,33 @@ def _key(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), tail))
 
 
+def _plain(path: Column) -> Column:
+    """A path that starts with / without its . and .. segments."""
+    segments = F.split(F.substr(path, F.lit(2)), "/")
+    up = lambda done: F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+    step = lambda done, s: F.when(s == "..", up(done)).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    kept = F.aggregate(segments, F.array().cast("array<string>"), step)
+    open_end = F.when(F.element_at(segments, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.lit("/"), F.array_join(F.concat(kept, open_end), "/"))
+
+
 def _absolute(target: Column, url: Column) -> Column:
+    """What a target of the page at url names; null for none, and for schemes without a host."""
     scheme = F.regexp_extract(url, r"^([^:/?#]+)://", 1)
+    site = F.concat(scheme, F.lit("://"), host_of(url))
+    target = F.regexp_replace(target, r"(?i)&(amp|#38|#x26);", "&")
+    path, tail = (F.regexp_extract(target, r"(?s)^([^?#]*)(.*)$", k) for k in (1, 2))
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)?", 1))
+    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
     return (
         F.when(F.trim(target) == "", F.lit(None).cast("string"))
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), target))
-        .when(target.contains("://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None).cast("string"))
+        .when(target.startswith("/"), F.concat(site, _plain(path), tail))
+        .when(target.startswith("?"), F.concat(site, path_of(url), tail))
+        .when(target.startswith("#"), F.concat(site, path_of(url), query, tail))
+        .otherwise(F.concat(site, _plain(F.concat(folder, path)), tail))
     )
 
 

@@ -194,6 +194,24 @@ def test_url_classes(spark):
     assert url_filters.judge(pages.filter("false"), RULES, Scratch(spark, "t")).count() == 0
 
 
+def test_relative_targets(spark):
+    at = "http://A.com/x/y/page?q=1#f"
+    forms = {
+        "page2.html": "http://a.com/x/y/page2.html", "../z": "http://a.com/x/z", "../../../z/": "http://a.com/z/", "./": "http://a.com/x/y/", "..": "http://a.com/x/", "?id=1&amp;k=2": "http://a.com/x/y/page?id=1&k=2",
+        "#top": "http://a.com/x/y/page?q=1#top", "/r/./s/../t?u=../v": "http://a.com/r/t?u=../v", "//b.com/c": "http://b.com/c", "https://c.com/?a=1&amp;b=2": "https://c.com/?a=1&b=2",
+        "go?to=http://d.com/": "http://a.com/x/y/go?to=http://d.com/", "mailto:me@a.com": None,
+    }
+    tags = ('<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">')
+    rows = [(t, at, tag.format(t)) for t in forms for tag in tags] + [("bare", "http://e.com", tags[0].format("bare")), ("none", "no scheme", tags[0].format("none"))]
+    forms |= {"bare": "http://e.com/bare"}
+    for r in spark.createDataFrame(rows, "target string, url string, html string").withColumn("found", url_filters.targets_of(F.col("url"), F.col("html"))).collect():
+        if r.target != "none":
+            assert r.found == ([forms[r.target]] if forms[r.target] else []), r.target
+    pages = [(1, "http://f.com/d/a", tags[1].format("b?k=1&amp;l=2")), (2, "http://f.com/d/b?k=1&l=2", tags[0].format("http://bad.net/p")), (3, "no scheme", tags[0].format("none"))]
+    got = url_filters.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES, Scratch(spark, "t")).collect()
+    assert {r.page_id: r.verdict for r in got} == {1: "block", 2: "block", 3: "allow"}
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a/\r\nx", "same"), (5, "http://b", "same"), (2, None, None), (3, "http://c", ""), (4, "http://d", "é" * 100_000), (None, "http://e", "same"), (5, "http://b", "same")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, payload int")
