@@ -239,16 +239,33 @@ def test_warc_rejects_cut_archives(spark, tmp_path):
         warc.load(spark, str(tmp_path)).collect()
 
 
+def small_lm(texts, size=150):
+    """An attention model and pair probabilities from texts; 1 begins and 2 ends."""
+    pairs = {}
+    for text in texts:
+        for last, y in zip([1, *text], [*text, 2], strict=True):
+            pairs[last, y] = pairs.get((last, y), 0) + 1
+    counts = np.bincount([y for (_, y), n in pairs.items() for _ in range(n)], minlength=size).astype(float)
+    classes = np.arange(size) % attention_lm.CLASSES
+    sums = {}
+    for (last, y), n in pairs.items():
+        old = sums.get((last, classes[y]), (0, 0))
+        sums[last, classes[y]] = old[0] + n, old[1] + 1
+    model = attention_lm.Pairs(counts, classes, tuple(np.array(c) for c in zip(*((*k, *v) for k, v in sums.items()), strict=True)))
+    return attention_lm.Attention(1, 2, classes, model.bias(counts)), model, pairs
+
+
+def segments(texts):
+    return [(np.empty(0, np.int64), np.append(t, 2)) for t in texts]
+
+
 def test_attention_scores_every_token_once():
     rng = np.random.default_rng(2)
-    size = attention_lm.TOP + 150
     texts = [rng.integers(3, 60, n) for n in (0, 1, 11, 12, 13, 100)]
-    counts = np.bincount(np.concatenate(texts), minlength=size)
-    contexts = attention_lm.Contexts(counts)
-    n = attention_lm.TOP + 1
-    model = attention_lm.Attention(size, 1, 2, contexts, attention_lm.tables_of(contexts, np.ones((n, n)), np.zeros((0, n))))
-    model.train(iter(texts))
-    for text, value in zip(texts, model.score(texts), strict=True):
+    model, pairs, counts = small_lm(texts)
+    for name, (weight, change) in model.train(iter(segments(texts))).items():
+        model.p[name] += (change / np.maximum(weight, 1)[:, None]).astype(np.float32)
+    for text, value in zip(texts, model.score(segments(texts)), strict=True):
         # Token by token, each with the window that ends at its half.
         seq = np.concatenate([[1] * (attention_lm.CONTEXT + 1), text, [2] * (attention_lm.STRIDE + 1)])
         total = 0.0
@@ -257,29 +274,54 @@ def test_attention_scores_every_token_once():
             window = seq[start : start + attention_lm.WINDOW].copy()
             later = attention_lm.CONTEXT + k - start + 1
             window[later:] = 5  # what comes after must not count
-            h = model.hidden(window[None, :])[0][0, k - start][None, :]
+            h = model.hidden(window[None, :])[0][k - start][None, :]
             y = seq[attention_lm.CONTEXT + 1 + k]
-            context = contexts.classes(seq[attention_lm.CONTEXT + k - 1 : attention_lm.CONTEXT + k], seq[attention_lm.CONTEXT + k : attention_lm.CONTEXT + k + 1])
-            total += float(model.log_probs(h.astype(np.float32), context, np.array([y]))[0]) / np.log(10)
+            total += float(model.log_probs(h, seq[attention_lm.CONTEXT + k : attention_lm.CONTEXT + k + 1], np.array([y]))[0])
         assert abs(total - value) < 1e-3 * max(1, abs(value))
-    # Each step's probabilities sum to one over all ids.
-    h = np.full((size, attention_lm.WIDTH), 0.3, np.float32)
-    assert abs(np.exp(model.log_probs(h, np.zeros(size, np.int64), np.arange(size))).sum() - 1) < 1e-4
+    # A segment with the ids before it scores as within its text.
+    whole, cut = texts[-1], 5 * attention_lm.STRIDE
+    apart = model.score([(np.empty(0, np.int64), whole[:cut]), (whole[:cut], np.append(whole[cut:], 2))])
+    assert abs(apart.sum() - model.score(segments([whole]))[0]) < 1e-3
+    # Both steps together sum to one over all ids.
+    for last in (1, 7, 140):
+        ids = np.arange(150)
+        h = np.full((150, attention_lm.WIDTH), 0.3, np.float32)
+        got = np.array([counts.get((last, y), 0) for y in ids])
+        log = model.log_probs(h, np.full(150, last), ids) + pairs.log_probs(last << 16 | ids, got)
+        by_class = np.zeros(attention_lm.CLASSES)
+        np.add.at(by_class, model.classes, np.exp(pairs.log_probs(last << 16 | ids, got)))
+        assert np.allclose(by_class, 1, atol=1e-4) and abs(np.exp(log).sum() - 1) < 1e-3
+
+
+def test_attention_learns_the_end():
+    """An end is as likely as it was counted: here after every id 9, and nowhere else."""
+    rng = np.random.default_rng(6)
+    texts = [np.append(rng.integers(10, 60, 30), 9) for _ in range(200)]
+    model, pairs, counts = small_lm(texts)
+    for name, (weight, change) in model.train(iter(segments(texts))).items():
+        model.p[name] += (change / np.maximum(weight, 1)[:, None]).astype(np.float32)
+    end = lambda before: float(model.score([(before, np.array([2]))])[0] + pairs.log_probs(before[-1:] << 16 | 2, np.array([counts.get((before[-1], 2), 0)]))[0])
+    assert end(texts[0]) > np.log(0.8) and end(texts[0][:-1]) < np.log(0.01)
 
 
 def test_attention_trains_on_every_id(monkeypatch):
     rng = np.random.default_rng(3)
-    size = attention_lm.TOP + 150
     texts = [rng.integers(3, 60, n) for n in (0, 1, 12, 63, 64, 200)]
-    contexts = attention_lm.Contexts(np.bincount(np.concatenate(texts), minlength=size))
-    n = attention_lm.TOP + 1
-    model = attention_lm.Attention(size, 1, 2, contexts, attention_lm.tables_of(contexts, np.ones((n, n)), np.zeros((0, n))))
+    model, _, _ = small_lm(texts)
     seen, gradients = [], model.gradients
-    monkeypatch.setattr(model, "gradients", lambda x, context, y, keep: seen.append(y[keep]) or gradients(x, context, y, keep))
-    model.train(iter(texts))
+    monkeypatch.setattr(model, "gradients", lambda x, y, keep: seen.append(y[keep]) or gradients(x, y, keep))
+    model.train(iter(segments(texts)))
     assert np.array_equal(np.sort(np.concatenate(seen)), np.sort(np.concatenate([*texts, [2] * len(texts)])))
 
 
+def test_segments_cover_the_text(monkeypatch):
+    text = " ".join(prose(random.Random(8), 400)).encode()
+    assert list(attention_lm._segments(b"a bb c")) == [([b"a", b"bb", b"c"], True)]
+    monkeypatch.setattr(attention_lm, "SEGMENT", 100)
+    cut = list(attention_lm._segments(text))
+    assert len(cut) > 5 and [w for words, _ in cut for w in words] == text.split() and [e for _, e in cut] == [False] * (len(cut) - 1) + [True]
+
+
 def test_lm_scores_rows(spark):
     rnd = random.Random(4)
     rows = [(i, " ".join(prose(rnd, rnd.randint(0, 120)))) for i in range(60)] + [(200, None), (201, ""), (None, "banar")]
