@@ -1,26 +1,28 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-Repeated passages stand anywhere in a text, so paragraphs are cut by content, not by line: a word position is an anchor
-if the hash of the three words from it is the smallest among `REACH` neighbouring positions, and a paragraph is the
-`LENGTH` words from an anchor. Any passage of REACH + LENGTH + 2 words (51 here) that occurs twice has an anchor of the same
-place in both, with the whole paragraph inside the passage. A text shorter than LENGTH words is one paragraph if it has `LEAST` words.
-
-1. One pass over the texts hashes words, finds anchors and, for each paragraph, the digest of its set of five-word
-   shingles and `BANDS` bands of `ROWS` minwise values of that set. Four bands of two values collide with 96 % at a
-   similarity of 0.75, 99.9 % at 0.9 and always for equal sets. Within a block of text, a digest's bands are written
-   once, and digests that share a band are linked on the spot, so a hot paragraph sends one row a block into the shuffle.
+Repeated passages stand anywhere in a text, so paragraphs are cut by content: a word position is a cut if the hash of the
+three words from it is the smallest in a window of `REACH` positions. The paragraphs between cuts cover the text without
+overlap. Any `REACH` neighbouring positions have a cut, and it depends on the words there alone, so copies of a passage are
+cut alike inside it, even where their lines break elsewhere. Paragraphs of at least `LEAST` words are compared.
+
+1. One pass over the texts writes, for each paragraph, the digest of its set of five-word shingles and `BANDS` bands of
+   `ROWS` minwise values of that set. Four bands of two values collide with 96 % at a similarity of 0.75, 99.9 % at 0.9 and
+   always for equal sets.
 2. Paragraphs of equal sets are one class, by a map-side combined count of digests; whole copies end here.
-3. Bands are joined over all blocks by one shuffle; rows of a band stream by in order, each linked to the first.
+3. Bands are joined by one shuffle; the digests of a band stream by in order, each linked to the first.
 4. Colliding classes form candidate clusters by connected components. Their shingle sets are made again from the text of
    one paragraph each, and compared breadth-first on exact Jaccard similarity (`PERCENT`). A cluster of at most `CLUSTER`
    classes meets in one task. In a larger one all classes of a band value meet, so that every colliding pair is compared;
    a band value of very many classes is dealt into parts, and each two of its parts meet in a task of their own.
 5. Components of the confirmed links are the clusters: the paragraph of the smallest (doc_id, position) stays, the others
-   are removals. Overlapping paragraphs of a document are merged into spans.
-
-Edge cases: null and short texts have no paragraphs. Rows without doc_id are ignored, since a removal has to name its
-document; rows that repeat a doc_id count as one if they are equal, and otherwise share its positions. Repeats inside one document count like those
-across documents, but paragraphs that overlap are no repeat of each other. Other columns are ignored. An empty table gives an empty result.
+   are removals.
+6. A removal grows over the words before and after it as far as they equal those around the paragraph that stays, up to
+   the next repeated paragraph of its document or `AROUND` words. So a repeated passage is covered to both its ends.
+
+Edge cases: null and short texts have no paragraphs; a text of fewer than `REACH` words is one. Rows without doc_id are
+ignored, since a removal has to name its document; rows that repeat a doc_id count as one if they are equal, and otherwise
+share its positions. Repeats inside one document count like those across documents. Other columns are ignored, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,16 +33,17 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, small, utf8_rows
 from .graph import components
-from .near_dedup import FACTORS, PERCENT, SHINGLE, _groups, confirmed, mixed
+from .near_dedup import FACTORS, SHINGLE, _groups, confirmed, mixed
 
-LENGTH, REACH, LEAST = 24, 25, 12
+REACH, LEAST, AROUND = 24, 8, 32
+#: A repeated run of fewer words is reported only where it is a whole text of at least WHOLE words.
+RUN, WHOLE = 24, 12
 BANDS, ROWS = 4, 2
-BLOCK_WORDS = 1_500_000
 #: Distinct sets of one candidate cluster or band value that are compared in one task.
 CLUSTER = 2048
 _rng = np.random.default_rng(31)
@@ -61,85 +64,62 @@ def _rolled(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def anchors(words: np.ndarray) -> np.ndarray:
-    """Positions from which paragraphs start."""
-    if len(words) < LENGTH:
-        return np.zeros(1 if len(words) >= LEAST else 0, np.int64)
+def cuts(words: np.ndarray) -> np.ndarray:
+    """Where paragraphs begin, and the end of the text."""
+    ends = np.array([0, len(words)])
+    if len(words) < REACH + 2:
+        return ends
     order = _rolled(words, 3)
-    if len(order) <= REACH:
-        at = np.array([int(order.argmin())])
-    else:
-        low = sliding_window_view(order, REACH).argmin(1)
-        at = np.unique(low + np.arange(len(low)))
-    # A run of one word repeated has one anchor, where it begins.
-    at = at[(at + LENGTH <= len(words)) & ((at == 0) | (order[at] != order[at - 1]))]
-    return at if len(at) else np.zeros(1, np.int64)
-
-
-def paragraph_set(words: np.ndarray, start: int) -> np.ndarray:
-    return np.unique(_rolled(words[start : start + LENGTH], SHINGLE))
+    low = sliding_window_view(order, REACH).argmin(1)
+    at = np.unique(low + np.arange(len(low)))
+    # Of cuts with the same words, as in a line said over and over, only the first counts.
+    at = at[np.concatenate([[True], order[at[1:]] != order[at[:-1]]])]
+    return np.union1d(at, ends)
 
 
 def _digest(shingle_set: np.ndarray) -> int:
-    return int(np.array([xxhash.xxh64_intdigest(shingle_set.tobytes())], np.uint64).view(np.int64)[0])
+    return xxhash.xxh64_intdigest(shingle_set.tobytes())
 
 
-def _marks(words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Digest of each paragraph's set, and its bands, a row for each paragraph."""
+def paragraphs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Starts, lengths and shingle sets of the paragraphs that are compared."""
+    at = cuts(words)
+    lengths = np.diff(at)
+    keep = lengths >= LEAST
+    starts, lengths = at[:-1][keep], lengths[keep]
     rolled = _rolled(words, SHINGLE)
-    width = min(LENGTH, len(words)) - SHINGLE + 1
-    windows = sliding_window_view(rolled, width)[at]
-    inner = np.sort(windows, axis=1)
-    plain = (inner[:, 1:] != inner[:, :-1]).all(1)
-    digests = np.array([xxhash.xxh64_intdigest((row if one else np.unique(row)).tobytes()) for row, one in zip(inner, plain, strict=True)], np.uint64).view(np.int64)
-    low = np.stack([(windows * m).min(1) for m in MINWISE], 1)
-    out = np.empty((len(at), BANDS), np.uint64)
+    return starts, lengths, [np.unique(rolled[a : a + n - SHINGLE + 1]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+
+
+def _bands(sets: list[np.ndarray]) -> np.ndarray:
+    """Bands of sets, a row for each."""
+    starts = np.cumsum([0, *map(len, sets)])[:-1]
+    flat = np.concatenate(sets)
+    out = np.empty((len(sets), BANDS), np.uint64)
     for b in range(BANDS):
-        joined = np.full(len(at), b + 1, np.uint64)
+        joined = np.full(len(sets), b + 1, np.uint64)
         for k in range(ROWS):
-            joined = mixed(joined ^ low[:, b * ROWS + k]) * FACTORS[k]
+            joined = mixed(joined ^ np.minimum.reduceat(flat * MINWISE[b * ROWS + k], starts)) * FACTORS[k]
         out[:, b] = joined
-    return digests, out
+    return out
 
 
-#: kind 0: a paragraph (digest, doc, start); 1: a band of a digest (band, digest); 2: a link within a block (digest, first).
-FOUND = "kind byte, digest long, other long, start int"
+UNITS = "digest long, doc long, start int, n int, size int, b0 long, b1 long, b2 long, b3 long"
 
 
-def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, words_held = [], 0
-
-    def rows(kind: int, digest: np.ndarray, other: np.ndarray, start: np.ndarray | None = None) -> pa.RecordBatch:
-        n = len(digest)
-        at = pa.nulls(n, pa.int32()) if start is None else pa.array(start.astype(np.int32))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int8)), pa.array(digest), pa.array(other), at], names=["kind", "digest", "other", "start"])
-
-    def flush():
-        doc = np.concatenate([np.full(len(a), d, np.int64) for d, a, _, _ in held])
-        digest = np.concatenate([d for *_, d, _ in held])
-        yield rows(0, digest, doc, np.concatenate([a for _, a, _, _ in held]))
-        digest, once = np.unique(digest, return_index=True)
-        bands = np.concatenate([b for *_, b in held])[once]
-        for b in range(BANDS):
-            value, first, inverse = np.unique(bands[:, b].view(np.int64), return_index=True, return_inverse=True)
-            yield rows(1, digest[first], value)
-            head = first[inverse]
-            rest = np.flatnonzero(head != np.arange(len(head)))
-            if len(rest):
-                yield rows(2, digest[rest], digest[head[rest]])
-
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in UNITS.split(", ")]
     for batch in small(batches, 64):
+        found, sets = [], []
         for doc, utf8 in zip(batch.column("doc").to_pylist(), utf8_rows(batch, "text"), strict=True):
             words = hashed(utf8)
-            at = anchors(words)
-            if len(at):
-                held.append((doc, at, *_marks(words, at)))
-                words_held += len(words)
-        if words_held >= BLOCK_WORDS:
-            yield from flush()
-            held, words_held = [], 0
-    if held:
-        yield from flush()
+            starts, lengths, own = paragraphs(words)
+            found.append((np.full(len(starts), doc, np.int64), starts.astype(np.int32), lengths.astype(np.int32), np.full(len(starts), len(words), np.int32)))
+            sets += own
+        if sets:
+            digest = np.array([_digest(x) for x in sets], np.uint64).view(np.int64)
+            columns = [np.concatenate([f[k] for f in found]) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (digest, *columns, *_bands(sets).view(np.int64).T)], names=names)
 
 
 def _link_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,53 +137,39 @@ def _link_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digest[linked]), pa.array(first[linked])], names=["a", "b"])
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, band) rows of a document's wanted paragraphs."""
-    for batch in small(batches, 64):
-        digests, found = [np.empty(0, np.int64)], [np.empty((0, BANDS), np.uint64)]
-        for wanted, utf8 in zip(batch.column("wanted").to_pylist(), utf8_rows(batch, "text"), strict=True):
-            words = hashed(utf8)
-            at = np.intersect1d(anchors(words), [w["start"] for w in wanted])
-            if len(at):
-                digest, bands = _marks(words, at)
-                asked = {(w["start"], w["digest"]) for w in wanted}
-                right = np.array([pair in asked for pair in zip(at.tolist(), digest.tolist(), strict=True)])
-                digests.append(digest[right])
-                found.append(bands[right])
-        digest, bands = np.concatenate(digests), np.concatenate(found)
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(digest, BANDS)), pa.array(bands.ravel().view(np.int64))], names=["digest", "band"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingle sets of a document's wanted paragraphs."""
+MADE = "keys array<long>, digest long, doc long, start int, shingles binary, before array<int>, after array<int>"
+
+
+def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a document's wanted paragraphs: the shingle sets of those with keys, and the words around those at the edge of a repeat."""
+    kinds = (pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
     for batch in small(batches, 64):
         out: list[tuple] = []
         for doc, wanted, utf8 in zip(batch.column("doc").to_pylist(), batch.column("wanted").to_pylist(), utf8_rows(batch, "text"), strict=True):
             words = hashed(utf8)
             for w in wanted:
-                made = paragraph_set(words, w["start"])
+                start, end = w["start"], w["start"] + w["n"]
+                made = np.unique(_rolled(words[start:end], SHINGLE))
                 # Rows that share a doc_id may differ in text: only the paragraph of the digest counts.
-                if len(made) and _digest(made) == w["digest"]:
-                    out.append((w["keys"], w["digest"], doc, w["start"], made.tobytes()))
-        columns = list(zip(*out, strict=True)) or [[]] * 5
-        kinds = (pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["keys", "digest", "doc", "start", "shingles"])
+                if len(made) and np.uint64(_digest(made)).view(np.int64) == w["digest"]:
+                    before, after = words[max(0, start - AROUND) : start][::-1] if w["left"] else [], words[end : end + AROUND] if w["right"] else []
+                    short = [np.asarray(x, np.uint64).astype(np.uint32).view(np.int32) for x in (before, after)]
+                    out.append((w["keys"], w["digest"], doc, start, made.tobytes() if w["keys"] else None, *short))
+        columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in MADE.split(", ")])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in _groups(batches, "key"):
-        digest, doc, start = (group.column(c).to_numpy() for c in ("digest", "doc", "start"))
+        digest = group.column("digest").to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
-        apart = lambda k, others, doc=doc, start=start: (doc[others] != doc[k]) | (np.abs(start[others] - start[k]) >= LENGTH)
-        pairs = [(np.full(len(hit), digest[k]), digest[hit]) for k, hit in confirmed(sets, may_link=apart)]
+        pairs = [(np.full(len(hit), digest[k]), digest[hit]) for k, hit in confirmed(sets)]
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*pairs, strict=True)], names=["a", "b"])
 
 
-def _keys_by_band(texts: DataFrame, wide: DataFrame) -> DataFrame:
-    """digest, keys of the groups in which it meets every other class that shares a band with it."""
-    wanted = wide.groupBy("doc").agg(F.collect_list(F.struct("start", "digest")).alias("wanted"))
-    bands = texts.join(wanted, "doc").mapInArrow(_bands, "digest long, band long").distinct()
+def _keys_by_band(bands: DataFrame) -> DataFrame:
+    """digest, keys of the groups in which it meets every other class that shares a band with it. bands: distinct (band, digest)."""
     parts = F.ceil(2 * F.col("m") / CLUSTER)
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("band", F.when(F.col("m") > CLUSTER, parts).otherwise(1).alias("parts"))
     own = F.pmod(F.xxhash64("digest"), F.col("parts"))
@@ -214,40 +180,70 @@ def _keys_by_band(texts: DataFrame, wide: DataFrame) -> DataFrame:
     return dealt.groupBy("digest").agg(F.collect_set("key").alias("keys"))
 
 
+def _agreed(own: str, other: str):
+    """In how many words two runs agree from their beginning."""
+    differ = F.array_position(F.zip_with(own, other, lambda x, y: ~x.eqNullSafe(y)), F.lit(True))
+    return F.when(differ > 0, differ - 1).otherwise(F.size(own)).cast("int")
+
+
+def _with_gaps(placed: DataFrame, counts) -> DataFrame:
+    """left and right: the words between a paragraph and those around it in its document that count, or the text's ends."""
+    order = Window.partitionBy("doc").orderBy("start", "digest")
+    before = F.last(F.when(counts, F.col("start") + F.col("n")), True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(F.when(counts, F.col("start")), True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    gap = lambda x: F.greatest(x, F.lit(0))
+    return placed.withColumns({"left": gap(F.col("start") - F.coalesce(before, F.lit(0))), "right": gap(F.coalesce(after, F.col("size")) - F.col("start") - F.col("n"))})
+
+
 def repeated_paragraphs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, n_words, keep_doc_id, keep_start and removed of every paragraph that repeats; positions in words."""
+    """doc_id, start, n_words, keep_doc_id, keep_start, removed and text_words of every repeated paragraph, grown to the ends of its repeat; positions in words."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    path = scratch.path("found")
-    texts.mapInArrow(_collide, FOUND).write.option("compression", "zstd").partitionBy("kind").parquet(path)
-    part = lambda kind: docs.sparkSession.read.schema(FOUND.split(", ", 1)[1] + ", kind byte").parquet(path).filter(F.col("kind") == kind)
-    units = part(0).select("digest", F.col("other").alias("doc"), "start").distinct()
-    wide = part(1).select(F.col("other").alias("band"), "digest").repartition(tasks, "band").sortWithinPartitions("band", "digest")
-    pairs = part(2).select(F.col("digest").alias("a"), F.col("other").alias("b")).unionByName(wide.mapInArrow(_link_bands, "a long, b long"))
-    candidates = scratch.cut(pairs.distinct(), "candidates")
+    units = scratch.cut(texts.mapInArrow(_units, UNITS), "units")
+    band_rows = units.select("digest", F.explode(F.array("b0", "b1", "b2", "b3")).alias("band")).distinct()
+    wide = band_rows.select("band", "digest").repartition(tasks, "band").sortWithinPartitions("band", "digest")
+    candidates = scratch.cut(wide.mapInArrow(_link_bands, "a long, b long").distinct(), "candidates")
     clusters = scratch.cut(components(candidates, scratch).select(F.col("node").alias("digest"), F.col("component").alias("gid")), "clusters")
-    counted = units.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "start")).alias("first"))
-    classes = scratch.cut(counted.join(clusters, "digest", "left").filter("n > 1 or gid is not null"), "classes")
-
-    grouped = classes.filter("gid is not null").select("digest", F.col("first.doc").alias("doc"), F.col("first.start").alias("start"), "gid")
-    sizes = grouped.groupBy("gid").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("gid", (F.col("m") > CLUSTER).alias("wide"))
-    sized = scratch.cut(grouped.join(sizes, "gid"), "sized")
-    keyed, wide = sized.filter("not wide").select("digest", "doc", "start", F.array("gid").alias("keys")), sized.filter("wide")
-    if wide.limit(1).count():
-        keys = scratch.cut(_keys_by_band(texts, wide), "keys")
-        keyed = keyed.unionByName(wide.join(keys, "digest").select("digest", "doc", "start", "keys"))
-    wanted = keyed.groupBy("doc").agg(F.collect_list(F.struct("start", "digest", "keys")).alias("wanted"))
-    sets = texts.join(wanted, "doc").mapInArrow(_sets, "keys array<long>, digest long, doc long, start int, shingles binary")
-    sets = sets.select(F.explode("keys").alias("key"), "digest", "doc", "start", "shingles")
+    counted = units.groupBy("digest").agg(F.count_distinct("doc", "start").alias("n"), F.min(F.struct("doc", "start", F.col("n").alias("n"))).alias("first"))
+    classes = scratch.cut(counted.join(clusters, "digest", "left").filter("n > 1 or gid is not null").select("digest", "n", "first", "gid"), "classes")
+
+    sizes = classes.filter("gid is not null").groupBy("gid").agg(F.count(F.lit(1)).alias("m")).select("gid", (F.col("m") > CLUSTER).alias("large"))
+    sized = scratch.cut(classes.join(sizes, "gid").select("digest", "gid", "large"), "sized")
+    keyed = sized.filter("not large").select("digest", F.array("gid").alias("keys"))
+    if sized.filter("large").limit(1).count():
+        large = units.join(sized.filter("large").select("digest"), "digest", "left_semi")
+        keyed = keyed.unionByName(_keys_by_band(large.select("digest", F.explode(F.array("b0", "b1", "b2", "b3")).alias("band")).distinct()))
+
+    # Where each document's paragraphs of such classes stand, and the gaps between those that have copies.
+    inside = units.select("digest", "doc", "start", "n", "size").distinct().join(classes.select("digest", "first", (F.col("n") > 1).alias("copied")), "digest")
+    placed = scratch.cut(_with_gaps(inside.withColumn("is_first", F.struct("doc", "start", "n") == F.col("first")).drop("first"), F.col("copied")), "placed")
+    asked = placed.filter("is_first or left > 0 or right > 0").join(keyed, "digest", "left").select(
+        "doc", "start", "n", "digest", F.when(F.col("is_first"), F.col("keys")).alias("keys"), (F.col("is_first") | (F.col("left") > 0)).alias("left"), (F.col("is_first") | (F.col("right") > 0)).alias("right"),
+    )
+    wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "digest", "keys", "left", "right")).alias("wanted"))
+    made = scratch.cut(texts.join(wanted, "doc").mapInArrow(_made, MADE), "made")
+    sets = made.filter("shingles is not null").select(F.explode("keys").alias("key"), "digest", "shingles").distinct()
     links = scratch.cut(sets.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_confirm, "a long, b long"), "links")
     near = scratch.cut(components(links, scratch).select(F.col("node").alias("digest"), F.col("component").alias("root")), "near")
 
-    rooted = scratch.cut(classes.select("digest", "n", "first").join(near, "digest", "left").filter("n > 1 or root is not null").select("digest", F.coalesce("root", "digest").alias("root"), "first"), "rooted")
+    rooted = classes.select("digest", "n", "first").join(near, "digest", "left").filter("n > 1 or root is not null").select("digest", F.coalesce("root", "digest").alias("root"), "first")
+    rooted = scratch.cut(rooted, "rooted")
     kept = rooted.groupBy("root").agg(F.min("first").alias("keep"))
-    found = units.join(rooted.join(kept, "root").select("digest", "keep"), "digest")
-    return found.select(
-        F.col("doc").alias("doc_id"), F.col("start").cast("long").alias("start"), F.lit(LENGTH).cast("long").alias("n_words"),
-        F.col("keep.doc").alias("keep_doc_id"), F.col("keep.start").cast("long").alias("keep_start"), (F.struct("doc", "start") != F.col("keep")).alias("removed"),
+    found = placed.drop("left", "right").join(rooted.join(kept, "root").select("digest", "keep"), "digest")
+    found = scratch.cut(_with_gaps(found.withColumn("removed", F.struct("doc", "start", "n") != F.col("keep")), F.lit(True)), "found")
+    around = made.select("doc", "start", "before", "after").dropDuplicates(["doc", "start"])
+    kept_words = around.join(kept.select(F.col("keep.doc").alias("doc"), F.col("keep.start").alias("start")).distinct(), ["doc", "start"])
+    kept_words = kept_words.select(F.struct("doc", "start").alias("at"), F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
+    edges = found.filter("removed and (left > 0 or right > 0)").join(around, ["doc", "start"]).withColumn("at", F.struct("keep.doc", "keep.start")).join(kept_words, "at")
+    edges = edges.select("doc", "start", "at", F.least("left", _agreed("before", "kept_before")).alias("more_before"), F.least("right", _agreed("after", "kept_after")).alias("more_after"))
+    # The paragraph that stays is repeated as far as the longest of its copies.
+    sides = edges.unionByName(edges.withColumns({"doc": F.col("at.doc"), "start": F.col("at.start")}))
+    grown = sides.groupBy("doc", "start").agg(F.max("more_before").alias("more_before"), F.max("more_after").alias("more_after"))
+    out = found.join(grown, ["doc", "start"], "left")
+    first, more = F.col("start") - F.coalesce("more_before", F.lit(0)), F.coalesce("more_before", F.lit(0)) + F.coalesce("more_after", F.lit(0))
+    return out.select(
+        F.col("doc").alias("doc_id"), first.cast("long").alias("start"), (F.col("n") + more).cast("long").alias("n_words"),
+        F.col("keep.doc").alias("keep_doc_id"), F.col("keep.start").cast("long").alias("keep_start"), "removed", F.col("size").cast("long").alias("text_words"),
     )
 
 
@@ -258,9 +254,13 @@ def spans(paragraphs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set(both)).alias("repeated"),
         F.array_sort(F.collect_set(F.when(F.col("removed"), both))).alias("gone"),
         F.array_sort(F.collect_set(F.when(F.col("removed"), F.col("keep_doc_id")))).alias("keep_doc_ids"),
+        F.max("text_words").alias("text_words"),
     )
-    words = lambda c: F.aggregate(_merged(F.col(c)), F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return rows.select("doc_id", words("repeated").alias("n_repeated"), words("gone").alias("n_removed"), _merged(F.col("gone")).alias("removed_spans"), "keep_doc_ids")
+    long = lambda s: (s["end"] - s["start"] >= RUN) | ((s["end"] - s["start"] >= WHOLE) & (s["end"] - s["start"] == F.col("text_words")))
+    rows = rows.withColumn("repeated", F.filter(_merged(F.col("repeated")), long)).filter(F.size("repeated") > 0)
+    rows = rows.withColumn("gone", F.filter(_merged(F.col("gone")), lambda g: F.exists("repeated", lambda r: (r["start"] <= g["start"]) & (g["end"] <= r["end"]))))
+    words = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select("doc_id", words("repeated").alias("n_repeated"), words("gone").alias("n_removed"), F.col("gone").alias("removed_spans"), F.when(F.size("gone") > 0, F.col("keep_doc_ids")).otherwise(F.array().cast("array<long>")).alias("keep_doc_ids"))
 
 
 def _merged(sorted_spans):
