@@ -15,9 +15,11 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a local one where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where that is unset and Spark runs in one process."""
     found = spark.conf.get(CHECKPOINT, None) or _own.get(app := spark.sparkContext.applicationId)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError(f"{CHECKPOINT} must name a folder that the driver and all executors share")
         found = _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
     return found.rstrip("/")
 

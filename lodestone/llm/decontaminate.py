@@ -6,7 +6,8 @@ windows of `window` consecutive words of each benchmark item; an item of fewer w
 Search, for patterns of one length m: a block is the last two words under the current position. The shift table gives
 how far the position can move before that block could end a pattern's block; a block that no pattern holds moves it by
 m - 1 words, so clean text is looked at about once in m words. Shift 0 means the block ends some pattern: the suffix
-bucket of that block lists the patterns to test, and a direct comparison of all m words confirms. Items shorter than the
+bucket of that block, divided by the patterns' first two words, lists the patterns to test, and a direct comparison of all m
+words confirms. Items shorter than the
 window have tables by their own length (a one-word pattern has a block of one word).
 
 The tables are broadcast in blocks of at most `block_words` pattern words, whatever the benchmark's size; documents pass
@@ -53,7 +54,7 @@ class WuManber:
             for end in range(self.b - 1, m):
                 block = p[end - self.b + 1 : end + 1]
                 self.shift[block] = min(self.shift.get(block, self.skip), m - 1 - end)
-            self.bucket.setdefault(p[m - self.b :], []).append((list(p), ids))
+            self.bucket.setdefault(p[m - self.b :], {}).setdefault(p[: self.b], []).append((list(p), ids))
 
     def occurrences(self, words: list[bytes]) -> Iterator[tuple[int, list[str]]]:
         """(first word's position, items) of each occurrence, by position."""
@@ -66,7 +67,7 @@ class WuManber:
                 at += step
                 continue
             window = words[at - m + 1 : at + 1]
-            for pattern, ids in bucket[block]:
+            for pattern, ids in bucket[block].get(tuple(window[:b]), ()):
                 if pattern == window:
                     yield at - m + 1, ids
             at += 1
@@ -105,17 +106,19 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[list[tuple[str, bytes]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int, window: int) -> Iterator[list[tuple[str, bytes]]]:
     """The benchmark's items in blocks of bounded size; one block at a time is on the driver."""
     block, n = [], 0
     for item, text in benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col(text_col).cast("string")).toLocalIterator():
-        utf8 = (text or "").encode()
-        size = len(words_of(utf8))
-        if block and n + size > block_words:
-            yield block
-            block, n = [], 0
-        block.append((item, utf8))
-        n += size
+        words = words_of((text or "").encode())
+        # A long item is cut into runs that share window - 1 words, so that each of its windows is in one of them.
+        for k in range(0, max(1, len(words) - window + 1), block_words):
+            own = words[k : k + block_words + window - 1]
+            if block and n + len(own) > block_words:
+                yield block
+                block, n = [], 0
+            block.append((item, b" ".join(own)))
+            n += len(own)
     yield block
 
 
@@ -151,7 +154,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, scratch: Scratch,
     out = docs.drop(*(c for c in ADDED if c != text_col))
     kept = [f for f in out.schema.fields if f.name not in ADDED]
     schema = T.StructType([*kept, T.StructField("n_words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
-    for k, block in enumerate(_blocks(benchmark, item_id, item_text, block_words)):
+    for k, block in enumerate(_blocks(benchmark, item_id, item_text, block_words, window)):
         if k:
             out = scratch.cut(out, "searched")
         shared = docs.sparkSession.sparkContext.broadcast(block)

@@ -7,7 +7,7 @@ represented by the SHA-256 of that form. The digests are written once as a narro
    most 1 / support digests, among them every digest with more than support * rows rows.
 2. One exact, map-side combined count over the candidates verifies them: winners are those above the threshold.
 3. Winners, at most 1 / support rows, are broadcast: their rows get their decision in the map task and are not shuffled
-   by digest.
+   by digest; `drop_duplicates` drops their copies there, with their texts.
 4. The remaining digests, none of which holds more than support of the rows, are aggregated and joined by shuffle.
 
 Edge cases: a null text counts as empty and equals other empty texts. A row without doc_id is never preferred; where no
@@ -32,20 +32,27 @@ def text_digest(text):
     return F.sha2(F.encode(F.regexp_replace(text, WHITE, " "), "UTF-8"), 256)
 
 
-def decisions(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+def _totals(rows: DataFrame) -> DataFrame:
+    """digest, keep_id and group_size."""
+    return rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+
+
+def _split(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, support: float) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest) of every row, written once, and the winners: digest, keep_id and group_size of those above the threshold."""
     spark = docs.sparkSession
     digests = scratch.cut(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(text_digest(text_of(text_col))).alias("digest")), "digests")
-    totals = (F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-
     named = spark.createDataFrame([(d,) for d in _frequent(digests, support)], "digest binary")
-    counted = digests.join(F.broadcast(named), "digest", "left_semi").groupBy("digest").agg(*totals)
+    counted = _totals(digests.join(F.broadcast(named), "digest", "left_semi"))
     rows = digests.count()
-    winners = scratch.cut(counted.filter(F.col("group_size") > support * rows), "winners")
+    return digests, scratch.cut(counted.filter(F.col("group_size") > support * rows), "winners")
+
 
+def decisions(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
+    digests, winners = _split(docs, scratch, id_col, text_col, support)
     hot = digests.join(F.broadcast(winners), "digest")
     rest = digests.join(F.broadcast(winners), "digest", "left_anti")
-    cold = rest.join(rest.groupBy("digest").agg(*totals), "digest")
+    cold = rest.join(_totals(rest), "digest")
     return hot.unionByName(cold).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
@@ -57,12 +64,30 @@ def _frequent(digests: DataFrame, support: float) -> list[bytes]:
     return [bytes(d) for d in found or []]
 
 
-def drop_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns: of equal texts the one with the smallest id."""
-    kept = decisions(docs, scratch, id_col, text_col).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    kept = kept.dropDuplicates(["__id", "__sha"])
-    marked = docs.withColumns({"__id": F.col(id_col).cast("long"), "__sha": text_digest(text_of(text_col))})
-    same = marked["__id"].eqNullSafe(kept["__id"]) & (marked["__sha"] == kept["__sha"])
-    with_id = marked.filter(F.col("__id").isNotNull()).join(kept.filter(F.col("__id").isNotNull()), ["__id", "__sha"], "left_semi").dropDuplicates(["__id", "__sha"])
-    without = marked.filter(F.col("__id").isNull()).join(kept.filter(F.col("__id").isNull()), same, "left_semi")
-    return with_id.unionByName(without).select(*docs.columns)
+def drop_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
+    """The rows of docs that stay, with their columns: of equal texts the one with the smallest id.
+
+    Copies of winners go in the map task, by the broadcast. Of the other rows, those that go are known as a narrow list of
+    (id, digest); only an anti join with it reads texts. Equal rows of one id are told apart where such rows exist.
+    """
+    digests, winners = _split(docs, scratch, id_col, text_col, support)
+    hidden = docs.toDF(*(f"input{k}" for k in range(len(docs.columns))))
+    own_id, own_text = (F.col(f"input{docs.columns.index(c)}") for c in (id_col, text_col))
+    marked = hidden.withColumns({"doc_id": own_id.cast("long"), "digest": F.unhex(text_digest(F.coalesce(own_text.cast("string"), F.lit(""))))})
+    left = marked.join(F.broadcast(winners.select("digest", "keep_id")), "digest", "left").filter(F.col("keep_id").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("keep_id")
+
+    # Groups without any id keep all their rows.
+    rest = digests.join(F.broadcast(winners), "digest", "left_anti")
+    several = _totals(rest).filter("group_size > 1 and keep_id is not null").select("digest", "keep_id")
+    gone = rest.join(several, "digest").filter("not doc_id <=> keep_id").select("doc_id", "digest")
+    hot_gone = digests.join(F.broadcast(winners), "digest").filter("keep_id is not null and doc_id is null").select("doc_id", "digest")
+    listed = scratch.cut(gone.unionByName(hot_gone).distinct(), "gone")
+    known, nameless = listed.filter("doc_id is not null"), listed.filter("doc_id is null").select("digest")
+    left = left.join(known, ["doc_id", "digest"], "left_anti")
+    if nameless.limit(1).count():
+        left = left.filter("doc_id is not null").unionByName(left.filter("doc_id is null").join(nameless, "digest", "left_anti"))
+    again = scratch.cut(digests.filter("doc_id is not null").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "digest"), "again")
+    if again.limit(1).count():
+        once = left.join(again, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+        left = left.join(again, ["doc_id", "digest"], "left_anti").unionByName(once)
+    return left.select(*(F.col(f"input{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -13,8 +13,9 @@ Jaccard similarity of their sets is at least `percent` / 100, and the result is
    hang at the root, 4e-6 one level below and less than 2e-5 at any depth, and still less above the threshold.
 3. In a leaf all signatures are compared, exhaustively. Documents whose estimate comes within the slack of the threshold
    are joined to candidate clusters: a spanning tree of each leaf, then components over all leaves.
-4. Links are confirmed on full sets, which are made again from the texts of candidates only. A cluster of bounded size
-   meets in one task; a larger one meets leaf by leaf. A task searches breadth-first: a document is compared with those
+4. Links are confirmed on full sets, which are made again from the texts of candidates only. A cluster of at most
+   `CLUSTER_DOCS` documents and `CLUSTER_SHINGLES` shingles meets in one task; a larger one is dealt into parts of half that
+   size, and each two of its parts meet in a task, so that all its pairs are compared there as well. A task searches breadth-first: a document is compared with those
    that no link has reached yet, so a large group of near copies needs few comparisons and never all of its pairs.
 5. Components of the confirmed links give component_id, the smallest doc_id reachable.
 
@@ -50,7 +51,7 @@ LEAF = 2048
 DEPTH = 16
 #: Standard deviations of a signature's estimate below the threshold that still make a candidate.
 SLACK = 4.0
-#: A candidate cluster up to these bounds is confirmed in one task.
+#: What one task confirms at once.
 CLUSTER_DOCS = 2048
 CLUSTER_SHINGLES = 8_000_000
 
@@ -286,11 +287,12 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     clusters = scratch.cut(components(candidates, scratch), "clusters")
 
     sized = clusters.join(classes.groupBy(F.col("rep").alias("node")).agg(F.sum("size").alias("size")), "node")
-    bounds = sized.groupBy("component").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("shingles"))
-    bounds = scratch.cut(bounds.select("component", ((F.col("docs") <= CLUSTER_DOCS) & (F.col("shingles") <= CLUSTER_SHINGLES)).alias("whole")), "bounds")
-    dealt = clusters.join(bounds, "component")
-    wide = dealt.filter(~F.col("whole")).select(F.col("node").alias("doc"))
-    groups = dealt.filter("whole").select(F.col("component").alias("gid"), F.col("node").alias("doc")).unionByName(leaf_rows.join(wide, "doc", "left_semi").select(F.col("node").alias("gid"), "doc"))
+    load = F.greatest(F.count(F.lit(1)) / CLUSTER_DOCS, F.sum("size") / CLUSTER_SHINGLES)
+    bounds = sized.groupBy("component").agg(F.when(load <= 1, 1).otherwise(F.ceil(2 * load)).cast("long").alias("parts"))
+    dealt = clusters.join(scratch.cut(bounds, "bounds"), "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda k: (k != F.col("own")) | (F.col("parts") == 1))
+    keys = F.transform(others, lambda k: F.xxhash64("component", F.least(k, F.col("own")), F.greatest(k, F.col("own"))))
+    groups = dealt.select(F.explode(keys).alias("gid"), F.col("node").alias("doc"))
 
     wanted = groups.join(texts.select(F.col("doc_id").alias("doc"), "text"), "doc").select("gid", "doc", "text")
     links = _by(wanted.mapInArrow(_full_sets, "gid long, doc long, shingles binary"), "gid").mapInArrow(_confirm, "a long, b long")

@@ -6,7 +6,7 @@ small share of the input.
 
 1. Trusted texts are split by a hash of their id: one half trains, the other gives the thresholds. Tasks count n-grams of
    their texts before the shuffle; lower orders are continuation counts of the next higher one. Discounts are estimated
-   by order from the counts of counts.
+   by language and order from the counts of counts; the empty context is the language's own, so each language has a model of its own.
 2. The model is two sharded tables by 64-bit key: a discounted probability for each n-gram, a back-off weight for each
    context. They are never collected or broadcast.
 3. Each input split (a file's byte range) lists the distinct keys of its texts. One join on the key fetches their values, and each
@@ -24,12 +24,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.dataset as pads
+import xxhash
 from pyarrow import fs as arrow_fs
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
@@ -50,14 +51,14 @@ WHITE = re.compile(r"\s+")
 END, BEGIN = 1, 2
 
 
-@cache
+@lru_cache(64)
 def _alphabet(lang: str) -> np.ndarray:
     """Hashes of the basic plane's characters in a language."""
     return _salted(np.arange(1 << 16, dtype=np.uint64), lang)
 
 
 def _salted(codes: np.ndarray, lang: str) -> np.ndarray:
-    salt = np.uint64(int.from_bytes(lang.encode()[:7], "little"))
+    salt = np.uint64(xxhash.xxh64_intdigest(lang.encode()))
     return mixed(codes * np.uint64(0x9E3779B97F4A7C15) + mixed(np.array([salt]))[0])
 
 
@@ -75,8 +76,8 @@ COLUMNS = [f"g{n}" for n in range(ORDER, 0, -1)] + [f"c{n}" for n in range(ORDER
 WIDE = ", ".join(f"{c} long" for c in COLUMNS)
 
 
-def keys_of(windows: np.ndarray) -> list[np.ndarray]:
-    """COLUMNS of rows of ORDER characters, the last of which is the one that is predicted."""
+def keys_of(windows: np.ndarray, langs: np.ndarray) -> list[np.ndarray]:
+    """COLUMNS of rows of ORDER characters, the last of which is the one that is predicted. langs: a number for the language of each row."""
 
     def key(mark: int, first: int, end: int) -> np.ndarray:
         out = np.full(len(windows), mark, np.uint64)
@@ -84,7 +85,9 @@ def keys_of(windows: np.ndarray) -> list[np.ndarray]:
             out += windows[:, k] * FACTORS[k - first]
         return out
 
-    return [key(n, ORDER - n, ORDER) for n in range(ORDER, 0, -1)] + [key(n + 100, ORDER - 1 - n, ORDER - 1) for n in range(ORDER - 1, -1, -1)]
+    grams = [key(n, ORDER - n, ORDER) for n in range(ORDER, 0, -1)]
+    # The empty context is the language's own.
+    return [*grams, *(key(n + 100, ORDER - 1 - n, ORDER - 1) for n in range(ORDER - 1, 0, -1)), mixed(langs + np.uint64(100))]
 
 
 class Grams:
@@ -106,10 +109,12 @@ class Grams:
         first = np.empty(len(uniques), np.int64)
         first[self.codes[::-1]] = at[::-1]
         self.windows = np.lib.stride_tricks.sliding_window_view(chars, ORDER)[first]
+        # Every text begins with its language's begin mark.
+        self.langs = np.repeat(np.array([x[0] for x in texts], np.uint64), lengths)[first]
         self.counts = lengths - ORDER + 1  # scored positions of each text
 
     def keys(self) -> list[np.ndarray]:
-        return keys_of(self.windows)
+        return keys_of(self.windows, self.langs)
 
 
 def _gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[object, Grams]]:
@@ -153,11 +158,14 @@ def model_tables(texts: DataFrame, scratch: Scratch) -> DataFrame:
     out = None
     for n in range(ORDER, 0, -1):
         gram, context = f"g{n}", f"c{n - 1}"
-        kinds = level.agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4))).first()
-        d1, d2, d3 = discounts([kinds[f"n{k}"] for k in (1, 2, 3, 4)])
-        off = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        sums = level.groupBy(context).agg(F.sum("n").alias("total"), F.sum(F.least(off, F.col("n"))).alias("left"))
-        values = level.join(sums, context).select(F.col(gram).alias("key"), ((F.col("n") - F.least(off, F.col("n"))) / F.col("total")).alias("value"))
+        # Discounts by language, of which c0 is the key.
+        kinds = level.groupBy(F.col("c0").alias("lang")).agg(*(F.count_if(F.col("n") == k).alias(f"n{k}") for k in (1, 2, 3, 4)))
+        kinds = scratch.cut(kinds.select("lang", *discounts()), f"discounts{n}")
+        level = level.join(kinds, F.col("c0") == F.col("lang"))
+        off = F.least(F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")), F.col("n"))
+        level = level.withColumn("off", off).drop("lang", "d1", "d2", "d3")
+        sums = level.groupBy(context).agg(F.sum("n").alias("total"), F.sum("off").alias("left"))
+        values = level.join(sums, context).select(F.col(gram).alias("key"), ((F.col("n") - F.col("off")) / F.col("total")).alias("value"))
         weights = sums.select(F.col(context).alias("key"), (F.col("left") / F.col("total")).alias("value"))
         out = values.unionByName(weights) if out is None else out.unionByName(values).unionByName(weights)
         if n > 1:
@@ -166,13 +174,14 @@ def model_tables(texts: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.cut(out, "model")
 
 
-def discounts(n: list[int]) -> tuple[float, float, float]:
-    """The three discounts from the numbers of n-grams that occur once to four times."""
-    if not n[0] or not n[1]:
-        return 0.5, 0.75, 0.9
-    y = n[0] / (n[0] + 2 * n[1])
-    found = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else float(k) for k in (1, 2, 3)]
-    return tuple(min(max(d, 0.05), k - 0.05) for k, d in enumerate(found, 1))
+def discounts() -> list:
+    """Columns d1, d2, d3: the discounts of n-grams that occur once, twice and more, from the numbers n1 to n4 of n-grams that occur once to four times."""
+    y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
+    out = []
+    for k, plain in ((1, 0.5), (2, 0.75), (3, 0.9)):
+        found = F.when(F.col(f"n{k}") > 0, k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0))).otherwise(float(k))
+        out.append(F.when((F.col("n1") == 0) | (F.col("n2") == 0), plain).otherwise(F.least(F.greatest(found, F.lit(0.05)), F.lit(k - 0.05))).alias(f"d{k}"))
+    return out
 
 
 def _score(root: str, floor: float):

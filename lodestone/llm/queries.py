@@ -74,7 +74,7 @@ def crc_fold(n: int) -> Column:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), crc_fold(4) != 2)
-    return toxicity.score(docs, model).select("doc_id", (crc_fold(4) == 2).alias("held_out"), "score", "predicted")
+    return toxicity.score(docs, model).select("doc_id", F.coalesce(crc_fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 QUERIES = {
@@ -90,7 +90,33 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
+#: RULES in SQL. No page of the given tables has a canonical or refresh link, so there the rules alone decide (the tests have links).
+RULES_SQL = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+
 ORACLE_SQL = {
+    "op1_url_filters": rf"""
+        WITH u AS (
+            SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+        ), p AS (
+            SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+        ), r(rule_host, rule_path, verdict) AS (VALUES {RULES_SQL}), f AS (
+            SELECT page_id, arg_max(rule_host || rule_path, len(rule_host || rule_path)) AS rule, arg_max(verdict, len(rule_host || rule_path)) AS verdict
+            FROM p JOIN r ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY page_id
+        )
+        SELECT p.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict, CAST(NULL AS BIGINT) AS component FROM p LEFT JOIN f ON p.page_id = f.page_id
+    """,
+    "op6_warc": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS payload, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages
+        ), d AS (
+            SELECT *, sha1(payload) AS hex FROM p
+        )
+        SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST(((CAST('0x' || substr(hex, CAST((5 * i) // 4 + 1 AS INT), 2) AS INT) >> CAST(3 - (5 * i) % 4 AS INT)) & 31) + 1 AS INT), 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = last THEN NULL ELSE last END AS refers_to
+        FROM d
+    """,
     "op4_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents

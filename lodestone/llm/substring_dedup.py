@@ -204,8 +204,9 @@ def repeated_paragraphs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id
     wide = band_rows.select("band", "digest").repartition(tasks, "band").sortWithinPartitions("band", "digest")
     candidates = scratch.cut(wide.mapInArrow(_link_bands, "a long, b long").distinct(), "candidates")
     clusters = scratch.cut(components(candidates, scratch).select(F.col("node").alias("digest"), F.col("component").alias("gid")), "clusters")
-    counted = units.groupBy("digest").agg(F.count_distinct("doc", "start").alias("n"), F.min(F.struct("doc", "start", F.col("n").alias("n"))).alias("first"))
-    classes = scratch.cut(counted.join(clusters, "digest", "left").filter("n > 1 or gid is not null").select("digest", "n", "first", "gid"), "classes")
+    place = F.struct("doc", "start", "n")
+    counted = units.groupBy("digest").agg(F.min(place).alias("first"), (F.min(place) != F.max(place)).alias("copied"))
+    classes = scratch.cut(counted.join(clusters, "digest", "left").filter("copied or gid is not null").select("digest", "copied", "first", "gid"), "classes")
 
     sizes = classes.filter("gid is not null").groupBy("gid").agg(F.count(F.lit(1)).alias("m")).select("gid", (F.col("m") > CLUSTER).alias("large"))
     sized = scratch.cut(classes.join(sizes, "gid").select("digest", "gid", "large"), "sized")
@@ -215,7 +216,7 @@ def repeated_paragraphs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id
         keyed = keyed.unionByName(_keys_by_band(large.select("digest", F.explode(F.array("b0", "b1", "b2", "b3")).alias("band")).distinct()))
 
     # Where each document's paragraphs of such classes stand, and the gaps between those that have copies.
-    inside = units.select("digest", "doc", "start", "n", "size").distinct().join(classes.select("digest", "first", (F.col("n") > 1).alias("copied")), "digest")
+    inside = units.select("digest", "doc", "start", "n", "size").join(classes.select("digest", "first", "copied"), "digest").distinct()
     placed = scratch.cut(_with_gaps(inside.withColumn("is_first", F.struct("doc", "start", "n") == F.col("first")).drop("first"), F.col("copied")), "placed")
     asked = placed.filter("is_first or left > 0 or right > 0").join(keyed, "digest", "left").select(
         "doc", "start", "n", "digest", F.when(F.col("is_first"), F.col("keys")).alias("keys"), (F.col("is_first") | (F.col("left") > 0)).alias("left"), (F.col("is_first") | (F.col("right") > 0)).alias("right"),
@@ -226,7 +227,7 @@ def repeated_paragraphs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id
     links = scratch.cut(sets.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_confirm, "a long, b long"), "links")
     near = scratch.cut(components(links, scratch).select(F.col("node").alias("digest"), F.col("component").alias("root")), "near")
 
-    rooted = classes.select("digest", "n", "first").join(near, "digest", "left").filter("n > 1 or root is not null").select("digest", F.coalesce("root", "digest").alias("root"), "first")
+    rooted = classes.select("digest", "copied", "first").join(near, "digest", "left").filter("copied or root is not null").select("digest", F.coalesce("root", "digest").alias("root"), "first")
     rooted = scratch.cut(rooted, "rooted")
     kept = rooted.groupBy("root").agg(F.min("first").alias("keep"))
     found = placed.drop("left", "right").join(rooted.join(kept, "root").select("digest", "keep"), "digest")

@@ -55,6 +55,10 @@ def unmasked(word: str) -> str:
     return "".join(c for c in word.strip(EDGE.replace("!", "")).lower().translate(ALIKE) if c.isalpha())
 
 
+#: A to Z.
+CAPITAL_BYTES = bytes(range(65, 91))
+
+
 class Features:
     """Dense features of texts, given a lexicon of words and of beginnings (marked by a final *)."""
 
@@ -99,7 +103,8 @@ class Features:
         count = lambda bit: int(np.count_nonzero(codes & bit))
         exclamations, questions, size = text.count("!"), text.count("?"), len(text)
         marks = exclamations + questions + text.count(",") + text.count(".") + text.count("*") + text.count("#")
-        upper = sum(map(text.count, "AEIOUNRST"))
+        utf8 = text.encode()
+        upper = len(utf8) - len(utf8.translate(None, CAPITAL_BYTES))
         return [
             float(len(hit)), len(hit) / n, count(STEM) / n, float(distinct), float(count(ALIKE_HIT)), float(near), near / n, len(you) / n, count(CAPITALS) / n,
             upper / size, exclamations / n, questions / n, marks / size, count(MASKED) / n, count(LONG_RUN) / n, math.log1p(n), (hit[-1] - hit[0]) / n if len(hit) else 0.0,

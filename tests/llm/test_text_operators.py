@@ -50,6 +50,8 @@ def test_exact_dedup_empty_and_hot(spark):
     for i, t in rows:
         groups.setdefault(t, []).append(i)
     assert all(got[i].keep_id == min(groups[t]) and got[i].group_size == len(groups[t]) for i, t in rows)
+    left = exact_dedup.drop_duplicates(docs_of(spark, [*rows, (1, "hot"), (None, "hot"), (None, "t0")]), Scratch(spark, "t"), support=0.01)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == sorted((min(ids), t) for t, ids in groups.items())
 
 
 def test_wu_manber_against_brute_force():
