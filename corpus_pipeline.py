@@ -17,10 +17,24 @@ from lodestone.llm.common import Scratch, read
 from lodestone.llm.queries import PIECES, crc_fold
 
 
+def _hidden(docs: DataFrame) -> DataFrame:
+    """docs under working names, which no operator's own columns can clash with."""
+    return docs.toDF(*(f"input{k}" for k in range(len(docs.columns))))
+
+
+def _shown(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs under their own names."""
+    return found.select(*(F.col(f"input{k}").alias(name) for k, name in enumerate(docs.columns)))
+
+
+def _name(docs: DataFrame, column: str) -> str:
+    return f"input{docs.columns.index(column)}"
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels"), crc_fold(4) != 2)
-    return toxicity.score(docs, model).filter("predicted = 0").select(*docs.columns)
+    return _shown(toxicity.score(_hidden(docs), model, _name(docs, "text")).filter("predicted = 0"), docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +49,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words benchmark windows cover a twentieth or more go."""
-    found = decontaminate.find_contamination(docs, read(spark, sf_dir, "benchmark"), Scratch(spark, "benchmark"))
-    return decontaminate.judge(found).filter("not contaminated").select(*docs.columns)
+    found = decontaminate.find_contamination(_hidden(docs), read(spark, sf_dir, "benchmark"), Scratch(spark, "benchmark"), _name(docs, "text"))
+    return _shown(decontaminate.judge(found).filter("not contaminated"), docs)
 
 
 def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
