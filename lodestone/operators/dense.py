@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 BLOCK = 4096
+#: Rows that are compared with a block at once.
+ROWS = 1024
 
 
 def valid_vector(v: F.Column) -> F.Column:
@@ -38,14 +40,16 @@ def cosine_topk(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    ids, vectors = [], []
+    """Blocks of queries of one dimension each."""
+    held: dict[int, tuple[list, list]] = {}
     for row in queries.toLocalIterator():
+        ids, vectors = held.setdefault(len(row["v"]), ([], []))
         ids.append(row["q"])
         vectors.append(row["v"])
         if len(ids) == BLOCK:
             yield np.array(ids), _unit(np.array(vectors))
-            ids, vectors = [], []
-    if ids:
+            del held[len(row["v"])]
+    for ids, vectors in held.values():
         yield np.array(ids), _unit(np.array(vectors))
 
 
@@ -57,10 +61,10 @@ def _best(shared, k: int, with_self: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, units = shared.value
         held: tuple | None = None
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, whole.num_rows, ROWS)):
             lists = batch.column("v")
             docs = batch.column("doc_id").to_numpy()
-            lengths = np.diff(lists.offsets.to_numpy())
+            lengths = np.diff(lists.offsets.to_numpy())  # flatten() follows a slice's offsets
             right = np.flatnonzero(lengths == units.shape[1])
             if not len(right):
                 continue

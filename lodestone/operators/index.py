@@ -14,18 +14,26 @@ from ..functions import text as t
 SCORE = "decimal(28,9)"
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, term, in_body, in_heading, tf for each distinct token of a document."""
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", asked: DataFrame | None = None) -> DataFrame:
+    """doc_id, term, in_body, in_heading, tf, length for each distinct token of a document.
+
+    With asked (a column term), only terms that begin as one of its terms: the others go before anything is shuffled.
+    """
     both = docs.select(F.col(id_col).alias("doc_id"), t.tokens(text_col).alias("body"), t.tokens(t.section_heading(text_col)).alias("heading"))
-    body = both.select("doc_id", F.explode("body").alias("term"), F.lit(1).alias("b"), F.lit(0).alias("h"))
-    heading = both.select("doc_id", F.explode("heading").alias("term"), F.lit(0).alias("b"), F.lit(1).alias("h"))
-    return body.unionByName(heading).groupBy("doc_id", "term").agg((F.max("b") == 1).alias("in_body"), (F.max("h") == 1).alias("in_heading"), F.sum("b").alias("tf"))
+    both = both.withColumn("length", F.size("body").cast("long"))
+    body = both.select("doc_id", "length", F.explode("body").alias("term"), F.lit(1).alias("b"), F.lit(0).alias("h"))
+    heading = both.select("doc_id", "length", F.explode("heading").alias("term"), F.lit(0).alias("b"), F.lit(1).alias("h"))
+    rows = body.unionByName(heading)
+    if asked is not None:
+        starts = asked.select(t.stem_key(F.col("term")).alias("start")).distinct()
+        rows = rows.join(starts, t.stem_key(rows["term"]) == starts["start"], "left_semi")
+    return rows.groupBy("doc_id", "term").agg((F.max("b") == 1).alias("in_body"), (F.max("h") == 1).alias("in_heading"), F.sum("b").alias("tf"), F.max("length").alias("length"))
 
 
 def prefix_postings(terms: DataFrame) -> DataFrame:
     """As postings(), by the first five characters of tokens with five or more."""
-    long = terms.filter(F.length("term") >= t.STEM).select("doc_id", t.stem_key(F.col("term")).alias("term"), "in_body", "in_heading", "tf")
-    return long.groupBy("doc_id", "term").agg(F.max("in_body").alias("in_body"), F.max("in_heading").alias("in_heading"), F.sum("tf").alias("tf"))
+    long = terms.filter(F.length("term") >= t.STEM).select("doc_id", t.stem_key(F.col("term")).alias("term"), "in_body", "in_heading", "tf", "length")
+    return long.groupBy("doc_id", "term").agg(F.max("in_body").alias("in_body"), F.max("in_heading").alias("in_heading"), F.sum("tf").alias("tf"), F.max("length").alias("length"))
 
 
 def doc_frequency(terms: DataFrame) -> DataFrame:
@@ -53,15 +61,15 @@ def query_terms(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def matches(terms: DataFrame, prefixes: DataFrame, asked: DataFrame) -> DataFrame:
-    """query_id, doc_id, term and how it matched: exact or by beginning, in body or heading.
+    """query_id, doc_id, term, the document's length and how it matched: exact or by beginning, in body or heading.
 
     Equi-joins on the term and on its first five characters, combined by (query, document, term).
     """
     no = F.lit(False)
-    exact = asked.join(terms, "term").select("query_id", "doc_id", "term", F.col("in_body").alias("eb"), F.col("in_heading").alias("eh"), no.alias("pb"), no.alias("ph"))
+    exact = asked.join(terms, "term").select("query_id", "doc_id", "term", "length", F.col("in_body").alias("eb"), F.col("in_heading").alias("eh"), no.alias("pb"), no.alias("ph"))
     long = asked.filter(F.length("term") >= t.STEM).withColumn("prefix", t.stem_key(F.col("term")))
-    near = long.join(prefixes.withColumnRenamed("term", "prefix"), "prefix").select("query_id", "doc_id", "term", no.alias("eb"), no.alias("eh"), F.col("in_body").alias("pb"), F.col("in_heading").alias("ph"))
-    return exact.unionByName(near).groupBy("query_id", "doc_id", "term").agg(*(F.max(c).alias(c) for c in ("eb", "eh", "pb", "ph")))
+    near = long.join(prefixes.withColumnRenamed("term", "prefix"), "prefix").select("query_id", "doc_id", "term", "length", no.alias("eb"), no.alias("eh"), F.col("in_body").alias("pb"), F.col("in_heading").alias("ph"))
+    return exact.unionByName(near).groupBy("query_id", "doc_id", "term").agg(*(F.max(c).alias(c) for c in ("eb", "eh", "pb", "ph", "length")))
 
 
 def matched_stems(found: DataFrame) -> DataFrame:

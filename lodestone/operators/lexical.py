@@ -19,9 +19,9 @@ def _capped(weight: float, value: Column) -> Column:
 
 def score(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, doc_id, score, matched: weighted matches by field and rarity, matched stems, length factor."""
-    terms = ix.postings(docs, id_col, text_col)
-    prefixes = ix.prefix_postings(terms)
     asked = ix.query_terms(queries, query_id, query_text)
+    terms = ix.postings(docs, id_col, text_col, asked)
+    prefixes = ix.prefix_postings(terms)
     stats = ix.length_stats(docs, id_col, text_col).first()  # two numbers
     n_docs, average = F.lit(stats["n_docs"]), F.lit(stats["avg_length"])
     found = ix.matches(terms, prefixes, asked)
@@ -33,18 +33,18 @@ def score(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, i
     zero = F.lit(0).cast(ix.SCORE)
     body = F.when(F.col("eb"), _capped(BODY, F.col("idf"))).when(F.col("pb"), _capped(BODY_STEM, F.col("pidf"))).otherwise(zero)
     heading = F.when(F.col("eh"), _capped(HEADING, F.col("idf"))).when(F.col("ph"), _capped(HEADING_STEM, F.col("pidf"))).otherwise(zero)
-    sums = scored.groupBy("query_id", "doc_id").agg(F.sum((body + heading).cast(ix.SCORE)).alias("raw"), F.count_distinct(F.when(F.length("term") >= 3, F.left("term", F.lit(5)))).alias("matched"))
+    sums = scored.groupBy("query_id", "doc_id").agg(F.sum((body + heading).cast(ix.SCORE)).alias("raw"), F.count_distinct(F.when(F.length("term") >= 3, F.left("term", F.lit(5)))).alias("matched"), F.max("length").alias("length"))
     factor = F.greatest(F.lit(0.65), F.least(F.lit(1.25), F.lit(1.1) / (F.lit(0.6) + F.lit(0.4) * F.col("length") / average)))
-    out = sums.join(ix.lengths(docs, id_col, text_col), "doc_id")
     # Narrow types keep all nine decimals of the sum.
     whole = F.col("raw").cast("decimal(20,9)") + (PER_STEM * F.col("matched")).cast("decimal(10,0)") + F.when(F.col("matched") >= 2, BOTH).otherwise(0)
-    return out.select("query_id", "doc_id", F.round(whole.cast("decimal(22,9)") * F.round(factor, 9).cast("decimal(12,9)"), 6).cast("decimal(18,6)").alias("score"), "matched")
+    return sums.select("query_id", "doc_id", F.round(whole.cast("decimal(22,9)") * F.round(factor, 9).cast("decimal(12,9)"), 6).cast("decimal(18,6)").alias("score"), "matched")
 
 
 def legacy_score(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """query_id, doc_id, score: min(3 * exact, 18) + min(2 * by beginning, 12)."""
-    terms = ix.postings(docs, id_col, text_col)
-    found = ix.matches(terms, ix.prefix_postings(terms), ix.query_terms(queries, query_id, query_text))
+    asked = ix.query_terms(queries, query_id, query_text)
+    terms = ix.postings(docs, id_col, text_col, asked)
+    found = ix.matches(terms, ix.prefix_postings(terms), asked)
     counts = found.groupBy("query_id", "doc_id").agg(F.count_if("eb").alias("exact"), F.count_if(F.col("pb") & ~F.col("eb")).alias("near"))
     points = F.least(3 * F.col("exact"), F.lit(18)) + F.least(2 * F.col("near"), F.lit(12))
     return counts.select("query_id", "doc_id", points.cast("decimal(18,6)").alias("score")).filter("score > 0")

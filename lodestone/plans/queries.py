@@ -93,7 +93,9 @@ def rrf_sql(parts: list[tuple[str, float]]) -> str:
 
 
 def docs_of(spark, sf_dir):
-    return table(spark, sf_dir, "documents")
+    """documents; where they are fewer files than the cluster has cores, dealt by doc_id, which counts by document then need no further shuffle for."""
+    docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
+    return docs.repartition(cores, "doc_id") if len(docs.inputFiles()) < cores else docs
 
 
 def asked_of(spark, sf_dir):
@@ -121,7 +123,7 @@ def fold_tokens(spark, sf_dir):
 @query(f"WITH {BASE} SELECT post.term, count(*) AS df, any_value(round(df.idf, 6)) AS idf FROM post JOIN df USING (term) WHERE b = 1 GROUP BY post.term")
 def term_df_idf(spark, sf_dir):
     docs = docs_of(spark, sf_dir)
-    n = F.lit(ix.length_stats(docs).first()["n_docs"])
+    n = F.lit(max(1, docs.count()))
     return ix.doc_frequency(ix.postings(docs)).select("term", "df", F.round(ix.idf(n, F.col("df")), 6).alias("idf"))
 
 
@@ -137,8 +139,9 @@ def doc_length_stats(spark, sf_dir):
 
 @query(f"WITH {BASE} SELECT query_id, count(DISTINCT doc_id) AS n_candidates FROM hit GROUP BY query_id")
 def candidate_join(spark, sf_dir):
-    terms = ix.postings(docs_of(spark, sf_dir))
-    found = ix.matches(terms, ix.prefix_postings(terms), ix.query_terms(asked_of(spark, sf_dir), "item_id", "text"))
+    asked = ix.query_terms(asked_of(spark, sf_dir), "item_id", "text")
+    terms = ix.postings(docs_of(spark, sf_dir), asked=asked)
+    found = ix.matches(terms, ix.prefix_postings(terms), asked)
     return found.groupBy("query_id").agg(F.count_distinct("doc_id").alias("n_candidates"))
 
 
@@ -161,8 +164,9 @@ def containment_join(spark, sf_dir):
 
 @query(f"WITH {BASE} SELECT query_id, doc_id, count(DISTINCT left(term, 5)) AS matched FROM hit WHERE length(term) >= 3 GROUP BY ALL")
 def matched_stems(spark, sf_dir):
-    terms = ix.postings(docs_of(spark, sf_dir))
-    return ix.matched_stems(ix.matches(terms, ix.prefix_postings(terms), ix.query_terms(asked_of(spark, sf_dir), "item_id", "text")))
+    asked = ix.query_terms(asked_of(spark, sf_dir), "item_id", "text")
+    terms = ix.postings(docs_of(spark, sf_dir), asked=asked)
+    return ix.matched_stems(ix.matches(terms, ix.prefix_postings(terms), asked))
 
 
 @query(f"WITH {LEX} SELECT query_id, doc_id, score, matched, rank FROM lexr WHERE rank <= 10")

@@ -86,7 +86,7 @@ EVENTS = [("u", 1, 0), ("u", 2, 30), ("u", 3, 59), ("u", 4, 60), ("u", 5, 90), (
 
 
 def events_of(spark):
-    return spark.createDataFrame(EVENTS, "user string, id long, s long").select("user", "id", F.timestamp_seconds("s").alias("at"))
+    return spark.createDataFrame(EVENTS, "user string, id long, s long").select("user", "id", F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("at"))
 
 
 def test_rate_limit_batch_and_stream(spark, tmp_path):
