@@ -36,6 +36,12 @@ def prefix_postings(terms: DataFrame) -> DataFrame:
     return long.groupBy("doc_id", "term").agg(F.max("in_body").alias("in_body"), F.max("in_heading").alias("in_heading"), F.sum("tf").alias("tf"), F.max("length").alias("length"))
 
 
+def by_start(terms: DataFrame) -> DataFrame:
+    """doc_id, start, words, in_body, in_heading, length: a document's terms that begin alike, in one row."""
+    word = F.struct("term", "in_body", "in_heading")
+    return terms.groupBy("doc_id", t.stem_key(F.col("term")).alias("start")).agg(F.collect_list(word).alias("words"), F.max("in_body").alias("in_body"), F.max("in_heading").alias("in_heading"), F.max("length").alias("length"))
+
+
 def doc_frequency(terms: DataFrame) -> DataFrame:
     """term, df over bodies."""
     return terms.filter("in_body").groupBy("term").agg(F.count(F.lit(1)).alias("df"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as t
 from . import index as ix
 
 # Weights of the field-aware scorer.
@@ -17,34 +20,58 @@ def _capped(weight: float, value: Column) -> Column:
     return F.lit(weight).cast("decimal(3,1)") * F.least(F.lit(IDF_CAP).cast(ix.SCORE), F.coalesce(value, F.lit(1).cast(ix.SCORE)))
 
 
-def score(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def prepared(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The postings that a batch of queries can meet, by beginning, held by Spark as they are first made, for scorers that read them several times.
+
+    They belong to this call alone; unpersist() frees them, and Spark makes lost parts again.
+    """
+    terms = ix.postings(docs, id_col, text_col, ix.query_terms(queries, query_id, query_text))
+    return ix.by_start(terms).withColumn("call", F.lit(uuid.uuid4().hex)).persist()
+
+
+def _hits(asked: DataFrame, starts: DataFrame) -> DataFrame:
+    """query_id, doc_id, term, start, first_of_stem, length and how the term matched: eb, eh exactly in body or heading, pb, ph by beginning.
+
+    One equi-join on the beginning: shorter terms are their own beginning, and an exact match is a match by beginning too.
+    """
+    first = F.row_number().over(Window.partitionBy("query_id", "start").orderBy("term")) == 1
+    own = asked.withColumn("start", t.stem_key(F.col("term"))).withColumn("first_of_stem", first)
+    exact = F.get(F.filter("words", lambda w: w["term"] == F.col("term")), F.lit(0))
+    long = F.length("term") >= t.STEM
+    joined = starts.join(own, "start").withColumn("exact", exact)
+    is_set = lambda c: F.coalesce(c, F.lit(False))
+    return joined.select(
+        "query_id", "doc_id", "term", "start", "first_of_stem", "length", is_set(F.col("exact.in_body")).alias("eb"), is_set(F.col("exact.in_heading")).alias("eh"),
+        (long & F.col("in_body")).alias("pb"), (long & F.col("in_heading")).alias("ph"),
+    )
+
+
+def score(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, id_col: str = "doc_id", text_col: str = "text", starts: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score, matched: weighted matches by field and rarity, matched stems, length factor."""
     asked = ix.query_terms(queries, query_id, query_text)
-    terms = ix.postings(docs, id_col, text_col, asked)
-    prefixes = ix.prefix_postings(terms)
+    starts = starts or prepared(docs, queries, query_id, query_text, id_col, text_col)
     stats = ix.length_stats(docs, id_col, text_col).first()  # two numbers
     n_docs, average = F.lit(stats["n_docs"]), F.lit(stats["avg_length"])
-    found = ix.matches(terms, prefixes, asked)
-    wanted = asked.select("term").distinct()
-    rarity = ix.doc_frequency(terms).join(wanted, "term", "left_semi").select("term", ix.idf(n_docs, F.col("df")).alias("idf"))
-    starts = ix.doc_frequency(prefixes).join(wanted.select(F.left("term", F.lit(5)).alias("term")).distinct(), "term", "left_semi")
-    starts = starts.select(F.col("term").alias("prefix"), ix.idf(n_docs, F.col("df")).alias("pidf"))
-    scored = found.join(rarity, "term", "left").withColumn("prefix", F.left("term", F.lit(5))).join(starts, "prefix", "left")
+    words = starts.select(F.explode("words").alias("w")).filter("w.in_body").groupBy(F.col("w.term").alias("term")).agg(F.count(F.lit(1)).alias("df"))
+    rarity = words.join(asked.select("term").distinct(), "term", "left_semi").select("term", ix.idf(n_docs, F.col("df")).alias("idf"))
+    shares = starts.filter("in_body").groupBy("start").agg(F.count(F.lit(1)).alias("df")).select("start", ix.idf(n_docs, F.col("df")).alias("pidf"))
+    # The rarity of its terms goes with the query, which is small, rather than with each match.
+    rare = asked.join(rarity, "term", "left").withColumn("start", t.stem_key(F.col("term"))).join(shares, "start", "left").select("query_id", "term", "idf", "pidf")
+    scored = _hits(asked, starts).join(rare, ["query_id", "term"])
     zero = F.lit(0).cast(ix.SCORE)
     body = F.when(F.col("eb"), _capped(BODY, F.col("idf"))).when(F.col("pb"), _capped(BODY_STEM, F.col("pidf"))).otherwise(zero)
     heading = F.when(F.col("eh"), _capped(HEADING, F.col("idf"))).when(F.col("ph"), _capped(HEADING_STEM, F.col("pidf"))).otherwise(zero)
-    sums = scored.groupBy("query_id", "doc_id").agg(F.sum((body + heading).cast(ix.SCORE)).alias("raw"), F.count_distinct(F.when(F.length("term") >= 3, F.left("term", F.lit(5)))).alias("matched"), F.max("length").alias("length"))
+    sums = scored.groupBy("query_id", "doc_id").agg(F.sum((body + heading).cast(ix.SCORE)).alias("raw"), F.count_if(F.col("first_of_stem") & (F.length("term") >= 3)).alias("matched"), F.max("length").alias("length"))
     factor = F.greatest(F.lit(0.65), F.least(F.lit(1.25), F.lit(1.1) / (F.lit(0.6) + F.lit(0.4) * F.col("length") / average)))
     # Narrow types keep all nine decimals of the sum.
     whole = F.col("raw").cast("decimal(20,9)") + (PER_STEM * F.col("matched")).cast("decimal(10,0)") + F.when(F.col("matched") >= 2, BOTH).otherwise(0)
     return sums.select("query_id", "doc_id", F.round(whole.cast("decimal(22,9)") * F.round(factor, 9).cast("decimal(12,9)"), 6).cast("decimal(18,6)").alias("score"), "matched")
 
 
-def legacy_score(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def legacy_score(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, id_col: str = "doc_id", text_col: str = "text", starts: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score: min(3 * exact, 18) + min(2 * by beginning, 12)."""
     asked = ix.query_terms(queries, query_id, query_text)
-    terms = ix.postings(docs, id_col, text_col, asked)
-    found = ix.matches(terms, ix.prefix_postings(terms), asked)
+    found = _hits(asked, starts or prepared(docs, queries, query_id, query_text, id_col, text_col))
     counts = found.groupBy("query_id", "doc_id").agg(F.count_if("eb").alias("exact"), F.count_if(F.col("pb") & ~F.col("eb")).alias("near"))
     points = F.least(3 * F.col("exact"), F.lit(18)) + F.least(2 * F.col("near"), F.lit(12))
     return counts.select("query_id", "doc_id", points.cast("decimal(18,6)").alias("score")).filter("score > 0")

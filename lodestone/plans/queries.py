@@ -102,16 +102,27 @@ def asked_of(spark, sf_dir):
     return table(spark, sf_dir, "benchmark")
 
 
-def lexical_scores(spark, sf_dir):
-    return lexical.score(docs_of(spark, sf_dir), asked_of(spark, sf_dir), "item_id", "text").filter(F.col("score") >= lexical.LEAST_SCORE)
+def postings_of(spark, sf_dir):
+    """The postings of the items, for queries that score them in several ways."""
+    return lexical.prepared(docs_of(spark, sf_dir), asked_of(spark, sf_dir), "item_id", "text")
 
 
-def lexical_ranking(spark, sf_dir):
-    return lexical.ranked(lexical_scores(spark, sf_dir), fusion.DEPTH)
+def lexical_scores(spark, sf_dir, starts=None):
+    return lexical.score(docs_of(spark, sf_dir), asked_of(spark, sf_dir), "item_id", "text", starts=starts).filter(F.col("score") >= lexical.LEAST_SCORE)
 
 
-def legacy_ranking(spark, sf_dir):
-    return lexical.ranked(lexical.legacy_score(docs_of(spark, sf_dir), asked_of(spark, sf_dir), "item_id", "text"), fusion.DEPTH)
+def lexical_ranking(spark, sf_dir, starts=None):
+    return lexical.ranked(lexical_scores(spark, sf_dir, starts), fusion.DEPTH)
+
+
+def both_rankings(spark, sf_dir):
+    """The lexical and the legacy ranking over the same postings."""
+    starts = postings_of(spark, sf_dir)
+    return [lexical_ranking(spark, sf_dir, starts), legacy_ranking(spark, sf_dir, starts)]
+
+
+def legacy_ranking(spark, sf_dir, starts=None):
+    return lexical.ranked(lexical.legacy_score(docs_of(spark, sf_dir), asked_of(spark, sf_dir), "item_id", "text", starts=starts), fusion.DEPTH)
 
 
 @query(f"SELECT doc_id, len(w) AS n_tokens, len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: x NOT IN ({STOP}) AND NOT regexp_matches(x, '^[0-9]+$'))) AS n_content, md5(array_to_string(w, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens_sql('text')} AS w FROM documents)")
@@ -181,7 +192,7 @@ def legacy_topk(spark, sf_dir):
 
 @query(f"WITH {LEX} SELECT * FROM ({rrf_sql([('lexr', 1.0), ('legr', 1.0)])}) WHERE rank <= 10")
 def rrf_two(spark, sf_dir):
-    return fusion.rrf([lexical_ranking(spark, sf_dir), legacy_ranking(spark, sf_dir)], [1.0, 1.0]).filter("rank <= 10")
+    return fusion.rrf(both_rankings(spark, sf_dir), [1.0, 1.0]).filter("rank <= 10")
 
 
 CHAMPIONS = f"""{LEX},
@@ -192,20 +203,21 @@ CHAMPIONS = f"""{LEX},
     champ AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doc_id) AS rank FROM best WHERE r = 1)"""
 
 
-def champion_ranking(spark, sf_dir):
+def champion_ranking(spark, sf_dir, rankings):
     domains = docs_of(spark, sf_dir).select("doc_id", F.col("source").alias("domain"))
-    return fusion.champions(lexical_ranking(spark, sf_dir), legacy_ranking(spark, sf_dir), domains, 15)
+    return fusion.champions(*rankings, domains, 15)
 
 
 @query(f"WITH {CHAMPIONS} SELECT query_id, doc_id, rank FROM champ")
 def domain_champions(spark, sf_dir):
     """The second ranking takes the place of the dense one."""
-    return champion_ranking(spark, sf_dir)
+    return champion_ranking(spark, sf_dir, both_rankings(spark, sf_dir))
 
 
 @query(f"WITH {CHAMPIONS} SELECT * FROM ({rrf_sql([('lexr', 1.0), ('legr', 1.0), ('champ', 0.75)])}) WHERE rank <= 10")
 def rrf_weighted(spark, sf_dir):
-    return fusion.rrf([lexical_ranking(spark, sf_dir), legacy_ranking(spark, sf_dir), champion_ranking(spark, sf_dir)], [1.0, 1.0, 0.75]).filter("rank <= 10")
+    rankings = both_rankings(spark, sf_dir)
+    return fusion.rrf([*rankings, champion_ranking(spark, sf_dir, rankings)], [1.0, 1.0, 0.75]).filter("rank <= 10")
 
 
 ROBIN = "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min({at}), doc_id) AS rank FROM (SELECT query_id, doc_id, rank, 0 AS x FROM lexr WHERE rank <= 200 UNION ALL SELECT query_id, doc_id, rank, 1 FROM legr WHERE rank <= 200) GROUP BY query_id, doc_id"
@@ -213,13 +225,13 @@ ROBIN = "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER
 
 @query(f"WITH {LEX} SELECT * FROM ({ROBIN.format(at='rank * 2 + x')})")
 def round_robin(spark, sf_dir):
-    return fusion.round_robin([lexical_ranking(spark, sf_dir), legacy_ranking(spark, sf_dir)])
+    return fusion.round_robin(both_rankings(spark, sf_dir))
 
 
 @query(f"WITH {LEX} SELECT * FROM ({ROBIN.format(at='rank * 2 + x')}) WHERE rank <= 10")
 def batch_round_robin(spark, sf_dir):
     """Limit min(12, max(6, 2 * 5))."""
-    return fusion.round_robin([lexical_ranking(spark, sf_dir), legacy_ranking(spark, sf_dir)], 10)
+    return fusion.round_robin(both_rankings(spark, sf_dir), 10)
 
 
 COSINE = """

@@ -8,7 +8,7 @@ from ..functions import text as t
 from ..operators import index as ix
 from ..operators import lexical
 from ..operators import understanding as un
-from .queries import BASE, LEX, STOP, asked_of, docs_of, fold_sql, heading_sql, legacy_ranking, lexical_ranking, lexical_scores, table, tokens_sql
+from .queries import BASE, LEX, STOP, asked_of, both_rankings, docs_of, fold_sql, heading_sql, table, tokens_sql
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -103,21 +103,24 @@ def relevance_gate(spark, sf_dir):
     SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM a) WHERE rank <= 5""")
 def forced_sections(spark, sf_dir):
     """Third to fifth of the legacy ranking as hints over the lexical ranking."""
-    hints = legacy_ranking(spark, sf_dir).filter("rank between 3 and 5").select("query_id", "doc_id", (F.col("rank") - 3).alias("place"))
-    return un.force_hints(lexical.ranked(lexical_scores(spark, sf_dir), 10), hints, 5)
+    best, legacy = both_rankings(spark, sf_dir)
+    hints = legacy.filter("rank between 3 and 5").select("query_id", "doc_id", (F.col("rank") - 3).alias("place"))
+    return un.force_hints(best.filter("rank <= 10"), hints, 5)
 
 
 @query(f"WITH {LEX}, h AS (SELECT query_id, doc_id FROM legr WHERE rank <= 5), r AS (SELECT query_id, doc_id, lang FROM lexr JOIN documents USING (doc_id) WHERE rank <= 5) SELECT h.query_id, h.doc_id, coalesce(r.lang, d.lang) AS lang, CASE WHEN r.lang IS NOT NULL THEN 'result' ELSE 'corpus' END AS origin FROM h LEFT JOIN r USING (query_id, doc_id) LEFT JOIN documents d ON h.doc_id = d.doc_id")
 def hint_section_join(spark, sf_dir):
     docs = docs_of(spark, sf_dir).select("doc_id", "lang")
-    results = lexical_ranking(spark, sf_dir).filter("rank <= 5").select("query_id", "doc_id").join(docs, "doc_id")
-    return un.hinted_rows(legacy_ranking(spark, sf_dir).filter("rank <= 5").select("query_id", "doc_id"), results, docs, ["query_id", "doc_id"], "lang")
+    best, legacy = both_rankings(spark, sf_dir)
+    results = best.filter("rank <= 5").select("query_id", "doc_id").join(docs, "doc_id")
+    return un.hinted_rows(legacy.filter("rank <= 5").select("query_id", "doc_id"), results, docs, ["query_id", "doc_id"], "lang")
 
 
 @query(f"WITH {LEX} SELECT e.query_id, e.doc_id, lexr.rank FROM (SELECT query_id, doc_id FROM legr WHERE rank <= 5) e LEFT JOIN (SELECT * FROM lexr WHERE rank <= 200) lexr ON e.query_id = lexr.query_id AND e.doc_id = lexr.doc_id")
 def expected_rank(spark, sf_dir):
     """Where the legacy ranking's best stand in the lexical ranking."""
-    return un.expected_ranks(lexical_ranking(spark, sf_dir), legacy_ranking(spark, sf_dir).filter("rank <= 5").select("query_id", "doc_id"))
+    best, legacy = both_rankings(spark, sf_dir)
+    return un.expected_ranks(best, legacy.filter("rank <= 5").select("query_id", "doc_id"))
 
 
 LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x, ' ') <> '')"
