@@ -93,7 +93,7 @@ def rrf_sql(parts: list[tuple[str, float]]) -> str:
 
 
 def docs_of(spark, sf_dir):
-    """documents; where they are fewer files than the cluster has cores, dealt by doc_id, which counts by document then need no further shuffle for."""
+    """documents; where they are fewer files than the cluster has cores, dealt by doc_id, so that counts by document need no further shuffle."""
     docs, cores = table(spark, sf_dir, "documents"), spark.sparkContext.defaultParallelism
     return docs.repartition(cores, "doc_id") if len(docs.inputFiles()) < cores else docs
 
