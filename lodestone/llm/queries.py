@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_lm, decontaminate, exact_dedup, near_dedup, ngram_quality, sentencepieces, substring_dedup, toxicity, url_filters, warc
+from . import attention_lm, decontaminate, exact_dedup, hamming_ann, hard_negatives, lexical_search, near_dedup, ngram_quality, sentencepieces, substring_dedup, toxicity, url_filters, warc
 from .common import Scratch, read
 
 #: The public tokenizer's model; operators take any path.
@@ -77,6 +77,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", F.coalesce(crc_fold(4) == 2, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+
+
+def op12_hamming_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_ann.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), Scratch(spark, "op13"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -88,6 +101,9 @@ QUERIES = {
     "op8_attention_lm": op8_attention_lm,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_hamming_ann": op12_hamming_ann,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 #: RULES in SQL. No page of the given tables has a canonical or refresh link, so there the rules alone decide (the tests have links).
@@ -147,4 +163,43 @@ ORACLE_SQL = {
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
     """,
+    "op11_hard_negatives": r"""
+        WITH e AS (
+            SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+                   list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT a.vec_id AS anchor_id, n.vec_id AS other_id, a.label = n.label AS same,
+                   CAST(list_sum(list_transform(list_zip(a.v, n.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM e a JOIN e n ON a.vec_id % 50 = 0 AND a.vec_id <> n.vec_id
+        ), p AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, other_id AS negative_id, positive_score, score AS negative_score
+        FROM p JOIN s USING (anchor_id) WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+        QUALIFY row_number() OVER w <= 3
+    """,
+    "op13_lexical_search": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS doc, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), t AS (
+            SELECT doc, doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d
+        ), f AS (
+            SELECT doc, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM t GROUP BY doc, term
+        ), g AS (
+            SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0
+        ), q AS (
+            SELECT item_id, term, count(*) AS repeats
+            FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY item_id, term
+        ), w AS (
+            SELECT term, CAST(floor(1000 * ln((2.0 * CAST(any_value(docs) AS DOUBLE) + 2) / (2.0 * CAST(count(*) AS DOUBLE) + 1))) AS BIGINT) AS weight FROM f, g GROUP BY term
+        ), s AS (
+            SELECT item_id, doc, any_value(doc_id) AS doc_id, CAST(sum(repeats * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // total)))) AS BIGINT) AS score
+            FROM q JOIN f USING (term) JOIN w USING (term), g GROUP BY item_id, doc
+        )
+        SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+        QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20
+    """,
 }
