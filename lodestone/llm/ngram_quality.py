@@ -9,9 +9,10 @@ small share of the input.
    by language and order from the counts of counts; the empty context is the language's own, so each language has a model of its own.
 2. The model is two sharded tables by 64-bit key: a discounted probability for each n-gram, a back-off weight for each
    context. They are never collected or broadcast.
-3. Each input split (a file's byte range) lists the distinct keys of its texts. One join on the key fetches their values, and each
-   split's values are written as a file of their own in the shared folder. The scoring pass reads the same splits, each
-   with its own file, so texts are never shuffled.
+3. Each block of texts (`ROWS` rows of a file that follow one another) lists the distinct keys of its texts. One join on the
+   key fetches their values, which are written by block to the shared folder. The scoring pass reads the documents again, each block
+   with its own values, so texts are never shuffled. A block is told by its file and row numbers, not by how a job splits
+   its input, and a block without values is an error.
 4. A document's perplexity is judged against the `QUANTILE` of its language's held-back trusted texts.
 
 Edge cases: null and empty texts have one character, the end; no language is the language ''. A language without trusted texts has no
@@ -45,10 +46,14 @@ QUANTILE = 0.99
 CHARACTERS = 4096
 BROADCAST_LABELS = 2_000_000
 FLUSH = 2_000_000
+#: Rows of a block.
+ROWS = 8192
 _rng = np.random.default_rng(77)
 FACTORS = _rng.integers(1, 2**63, ORDER + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 WHITE = re.compile(r"\s+")
 END, BEGIN = 1, 2
+#: No n-gram's key but by chance; its value is never used.
+MARK = -(2**63)
 
 
 @lru_cache(64)
@@ -202,13 +207,14 @@ def _score(root: str, floor: float):
 
 
 def _values_of(root: str, block: str) -> tuple[pd.Index, np.ndarray]:
-    """The values that were fetched for a split; a split none of whose keys is in the model has no file."""
+    """The values that were fetched for a block; several tasks may have asked for a key."""
     system, base = arrow_fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
     path = f"{base}/block={block}"
     if system.get_file_info(path).type == arrow_fs.FileType.NotFound:
-        return pd.Index(np.empty(0, np.int64)), np.empty(0)
+        raise FileNotFoundError(f"no values were fetched for the texts of block {block}")
     table = pads.dataset(path, filesystem=system, format="parquet").to_table(columns=["key", "value"])
-    return pd.Index(table.column("key").to_numpy()), table.column("value").to_numpy()
+    keys, first = np.unique(table.column("key").to_numpy(), return_index=True)
+    return pd.Index(keys), table.column("value").to_numpy()[first]
 
 
 def perplexities(grams: Grams, keys: pd.Index, values: np.ndarray, floor: float) -> np.ndarray:
@@ -228,7 +234,7 @@ def perplexities(grams: Grams, keys: pd.Index, values: np.ndarray, floor: float)
 def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float = QUANTILE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
     """doc_id, lang, perplexity, threshold and kept for every row of docs."""
     text, lang = F.col(text_col).cast("string").alias("text"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang")
-    split = F.md5(F.concat_ws("|", "_metadata.file_path", "_metadata.file_block_start")).alias("block")
+    split = F.md5(F.concat_ws("|", "_metadata.file_path", F.floor(F.col("_metadata.row_index") / ROWS))).alias("block")
     columns = [F.col(id_col).cast("long").alias("doc_id"), text, lang]
     try:
         rows = docs.select(split, *columns)
@@ -244,7 +250,9 @@ def judge(docs: DataFrame, labels: DataFrame, scratch: Scratch, quantile: float
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     needed = rows.select("block", "text", "lang").mapInArrow(_needed, "block string, key long")
     root = scratch.path("values")
-    needed.join(model, "key").repartition(tasks, "block").write.option("compression", "zstd").partitionBy("block").parquet(root)
+    # Every block has a row, even if none of its keys is in the model.
+    blocks = rows.select("block").distinct().select("block", F.lit(MARK).alias("key"), F.lit(0.0).alias("value"))
+    needed.join(model, "key").select("block", "key", "value").unionByName(blocks).repartition(tasks, "block").write.option("compression", "zstd").partitionBy("block").parquet(root)
 
     scores = scratch.cut(rows.mapInArrow(_score(root, 1 / CHARACTERS), "doc_id long, lang string, perplexity double"), "scores")
     bounds = scores.join(F.broadcast(trusted) if few else trusted, "doc_id", "left_semi").filter(half == 1).groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))

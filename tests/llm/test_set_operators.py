@@ -474,3 +474,25 @@ def test_ngram_edges(spark):
     got = ngram_quality.judge(docs, labels, Scratch(spark, "t")).collect()
     assert len(got) == 3 and len({r.perplexity for r in got if r.doc_id == 1}) == 1
     assert ngram_quality.judge(docs.filter("false"), labels, Scratch(spark, "t")).count() == 0
+
+
+def test_quality_does_not_depend_on_input_splits(spark, monkeypatch):
+    """Scores are the same where the scoring job splits its input otherwise than the job that fetched the values; missing values are an error."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    held = {r.doc_id: r.perplexity for r in ngram_quality.judge(docs, labels, Scratch(spark, "t")).collect()}
+    setting, plain = "spark.sql.files.maxPartitionBytes", ngram_quality._score
+    before = spark.conf.get(setting)
+
+    def other(*args):
+        spark.conf.set(setting, "65536")
+        return plain(*args)
+
+    monkeypatch.setattr(ngram_quality, "_score", other)
+    monkeypatch.setattr(ngram_quality, "ROWS", 100)
+    try:
+        got = {r.doc_id: r.perplexity for r in ngram_quality.judge(docs, labels, Scratch(spark, "t")).collect()}
+    finally:
+        spark.conf.set(setting, before)
+    assert len(set(held.values())) > 900 and got == pytest.approx(held)
+    with pytest.raises(FileNotFoundError):
+        ngram_quality._values_of("file:///tmp", "no-such-block")
