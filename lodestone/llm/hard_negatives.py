@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import Scratch
 from .grid import Best, matrix, meet, sound, usual_length
 
 POSITIVES, NEGATIVES = 5, 3
@@ -108,7 +109,7 @@ def _negatives(slots: int, k: int):
 
 
 def mine(
-    rows: DataFrame, anchor: Column, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, scale: int = SCALE,
+    rows: DataFrame, anchor: Column, scratch: Scratch, positives: int = POSITIVES, negatives: int = NEGATIVES, low: int = LOW, high: int = HIGH, scale: int = SCALE,
     id_col: str = "vec_id", label_col: str = "label", vector: str = "embedding",
 ) -> DataFrame:
     """anchor_id, positive_id, rank, negative_id, positive_score, negative_score. anchor: which rows are anchors, over id_col."""
@@ -119,6 +120,7 @@ def mine(
     table = used.drop("is_anchor")
     twin = F.row_number().over(Window.partitionBy("anchor_id").orderBy("label", "v"))
     anchors = used.filter("is_anchor").select(F.col("vec_id").alias("anchor_id"), "label", "v").distinct().withColumn("twin", twin)
+    anchors = scratch.cut(anchors, "anchors")
 
     def against(asked: DataFrame, kernel, schema: str) -> DataFrame:
         return meet(table, asked, kernel, schema, ["vec_id", "v"], ["anchor_id", "twin"], ["anchor_id", "twin", "vec_id", "label", "v"])
@@ -128,7 +130,8 @@ def mine(
     place = lambda by, name: F.row_number().over(Window.partitionBy(*by).orderBy(*by_score(name)))
     near = against(anchors, _positives(positives), "anchor_id long, twin int, positive_id long, positive_score long")
     near = near.withColumn("place", place(key, "positive")).filter(F.col("place") <= positives).filter("positive_score >= 0")
-    windows = near.withColumn("upper", F.expr(f"({high} * positive_score) div 100")).withColumn("lower", F.expr(f"({low} * positive_score + 99) div 100"))
+    # The first pass over all rows is not made again for the second one and the merge.
+    windows = scratch.cut(near, "positives").withColumn("upper", F.expr(f"({high} * positive_score) div 100")).withColumn("lower", F.expr(f"({low} * positive_score + 99) div 100"))
     limits = windows.groupBy(*key, "upper").agg(F.min("lower").alias("lower"))
     limits = limits.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("upper", "lower")), asc=False).alias("slots"))
     found = against(anchors.join(limits, key), _negatives(positives, negatives), "anchor_id long, twin int, slot int, negative_id long, negative_score long")

@@ -79,7 +79,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
-    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 50 == 0)
+    return hard_negatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 50 == 0, Scratch(spark, "op11"))
 
 
 def op12_hamming_ann(spark: SparkSession, sf_dir: str) -> DataFrame:

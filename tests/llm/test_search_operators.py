@@ -50,7 +50,7 @@ def test_hard_negatives_brute_force(spark, monkeypatch, n, repeat, blocks):
     """Random vectors, a third of all rows with one vector (ties by id), and anchors in many blocks."""
     monkeypatch.setattr(hard_negatives.meet, "__defaults__", (blocks, 32))
     rows = vectors(n, repeat=repeat)
-    got = hard_negatives.mine(table(spark, rows), F.col("vec_id") % 10 == 0)
+    got = hard_negatives.mine(table(spark, rows), F.col("vec_id") % 10 == 0, Scratch(spark, "test"))
     assert got.columns == COLUMNS
     want = mined(rows, 10)
     assert len(want) > 100 and sorted(tuple(r) for r in got.collect()) == want
@@ -60,7 +60,7 @@ def test_hard_negatives_edges(spark):
     """Nulls in any column, bad components, other lengths, zero vectors, few rows, negative scores, repeated anchors and no rows."""
     whole = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [0.75, 0.0], 2), (3, [0.5, 0.5], 2), (4, [0.0, 0.0], 1), (10, [0.0, -1.0], 3), (5, [0.0, 1.0], 3)]
     bad = [(None, [1.0, 0.0], 1), (6, None, 2), (7, [float("nan"), 0.0], 2), (8, [None, 0.5], 2), (9, [0.9, 0.0], None), (11, [0.9], 2), (12, [], 2), (13, [float("inf"), 0.0], 2)]
-    got = lambda rows: sorted(tuple(r) for r in hard_negatives.mine(table(spark, rows), F.col("vec_id") % 10 == 0).collect())
+    got = lambda rows: sorted(tuple(r) for r in hard_negatives.mine(table(spark, rows), F.col("vec_id") % 10 == 0, Scratch(spark, "test")).collect())
     assert got(whole + bad) == mined(whole, 10) and mined(whole, 10)[0] == (0, 1, 1, 2, 65536, 49152)
     # The positive of score 0 has the window 0 to 0; that of anchor 10 scores below 0 and has none.
     assert (0, 4, 1, 5, 0, 0) in got(whole) and not [r for r in got(whole) if r[0] == 10]
