@@ -14,12 +14,15 @@ from ..functions import text as t
 SCORE = "decimal(28,9)"
 
 
-def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", asked: DataFrame | None = None) -> DataFrame:
+def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", asked: DataFrame | None = None, body: F.Column | None = None, heading: F.Column | None = None) -> DataFrame:
     """doc_id, term, in_body, in_heading, tf, length for each distinct token of a document.
 
     With asked (a column term), only terms that begin as one of its terms: the others go before anything is shuffled.
+    body and heading are the tokens, where they are not the text's own.
     """
-    both = docs.select(F.col(id_col).alias("doc_id"), t.tokens(text_col).alias("body"), t.tokens(t.section_heading(text_col)).alias("heading"))
+    body = t.tokens(text_col) if body is None else body
+    heading = t.tokens(t.section_heading(text_col)) if heading is None else heading
+    both = docs.select(F.col(id_col).alias("doc_id"), body.alias("body"), heading.alias("heading"))
     both = both.withColumn("length", F.size("body").cast("long"))
     body = both.select("doc_id", "length", F.explode("body").alias("term"), F.lit(1).alias("b"), F.lit(0).alias("h"))
     heading = both.select("doc_id", "length", F.explode("heading").alias("term"), F.lit(0).alias("b"), F.lit(1).alias("h"))

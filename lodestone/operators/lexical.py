@@ -16,7 +16,7 @@ BODY, BODY_STEM, HEADING, HEADING_STEM = 2.4, 1.7, 4.5, 3.2
 IDF_CAP, PER_STEM, BOTH, LEAST_SCORE = 5, 7, 2, 6
 
 
-def _capped(weight: float, value: Column) -> Column:
+def capped(weight: float, value: Column) -> Column:
     return F.lit(weight).cast("decimal(3,1)") * F.least(F.lit(IDF_CAP).cast(ix.SCORE), F.coalesce(value, F.lit(1).cast(ix.SCORE)))
 
 
@@ -29,7 +29,7 @@ def prepared(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str
     return ix.by_start(terms).withColumn("call", F.lit(uuid.uuid4().hex)).persist()
 
 
-def _hits(asked: DataFrame, starts: DataFrame) -> DataFrame:
+def hits(asked: DataFrame, starts: DataFrame) -> DataFrame:
     """query_id, doc_id, term, start, first_of_stem, length and how the term matched: eb, eh exactly in body or heading, pb, ph by beginning.
 
     One equi-join on the beginning: shorter terms are their own beginning, and an exact match is a match by beginning too.
@@ -57,10 +57,10 @@ def score(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, i
     shares = starts.filter("in_body").groupBy("start").agg(F.count(F.lit(1)).alias("df")).select("start", ix.idf(n_docs, F.col("df")).alias("pidf"))
     # The rarity of its terms goes with the query, which is small, rather than with each match.
     rare = asked.join(rarity, "term", "left").withColumn("start", t.stem_key(F.col("term"))).join(shares, "start", "left").select("query_id", "term", "idf", "pidf")
-    scored = _hits(asked, starts).join(rare, ["query_id", "term"])
+    scored = hits(asked, starts).join(rare, ["query_id", "term"])
     zero = F.lit(0).cast(ix.SCORE)
-    body = F.when(F.col("eb"), _capped(BODY, F.col("idf"))).when(F.col("pb"), _capped(BODY_STEM, F.col("pidf"))).otherwise(zero)
-    heading = F.when(F.col("eh"), _capped(HEADING, F.col("idf"))).when(F.col("ph"), _capped(HEADING_STEM, F.col("pidf"))).otherwise(zero)
+    body = F.when(F.col("eb"), capped(BODY, F.col("idf"))).when(F.col("pb"), capped(BODY_STEM, F.col("pidf"))).otherwise(zero)
+    heading = F.when(F.col("eh"), capped(HEADING, F.col("idf"))).when(F.col("ph"), capped(HEADING_STEM, F.col("pidf"))).otherwise(zero)
     sums = scored.groupBy("query_id", "doc_id").agg(F.sum((body + heading).cast(ix.SCORE)).alias("raw"), F.count_if(F.col("first_of_stem") & (F.length("term") >= 3)).alias("matched"), F.max("length").alias("length"))
     factor = F.greatest(F.lit(0.65), F.least(F.lit(1.25), F.lit(1.1) / (F.lit(0.6) + F.lit(0.4) * F.col("length") / average)))
     # Narrow types keep all nine decimals of the sum.
@@ -71,7 +71,7 @@ def score(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, i
 def legacy_score(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, id_col: str = "doc_id", text_col: str = "text", starts: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, score: min(3 * exact, 18) + min(2 * by beginning, 12)."""
     asked = ix.query_terms(queries, query_id, query_text)
-    found = _hits(asked, starts or prepared(docs, queries, query_id, query_text, id_col, text_col))
+    found = hits(asked, starts or prepared(docs, queries, query_id, query_text, id_col, text_col))
     counts = found.groupBy("query_id", "doc_id").agg(F.count_if("eb").alias("exact"), F.count_if(F.col("pb") & ~F.col("eb")).alias("near"))
     points = F.least(3 * F.col("exact"), F.lit(18)) + F.least(2 * F.col("near"), F.lit(12))
     return counts.select("query_id", "doc_id", points.cast("decimal(18,6)").alias("score")).filter("score > 0")

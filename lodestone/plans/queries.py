@@ -331,7 +331,8 @@ def fuzzy_candidates(spark, sf_dir):
     return best.select("origin", "typo", "term", "score")
 
 
-SUFFIX_SQL = ", ".join(f"CASE WHEN ends_with(term, '{s}') AND length(term) - {len(s)} >= 4 THEN left(term, length(term) - {len(s)}) END" for s in t.SUFFIXES)
+SUFFIXES_SQL = ", ".join(f"CASE WHEN ends_with({{x}}, '{s}') AND length({{x}}) - {len(s)} >= 4 THEN left({{x}}, length({{x}}) - {len(s)}) END" for s in t.SUFFIXES)
+SUFFIX_SQL = SUFFIXES_SQL.format(x="term")
 
 
 @query(f"WITH {BASE}, v AS (SELECT DISTINCT term FROM post WHERE length(term) >= 5) SELECT DISTINCT term, variant FROM (SELECT term, unnest([{SUFFIX_SQL}]) AS variant FROM v) JOIN (SELECT DISTINCT term AS variant FROM post) USING (variant)")
