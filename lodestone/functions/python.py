@@ -6,7 +6,6 @@ import html
 import json
 import re
 import unicodedata
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -26,10 +25,28 @@ def fold_exact(s: pd.Series) -> pd.Series:
     return s.map(one)
 
 
+def alike(a: str, b: str) -> int:
+    """Characters of the longest common stretch (the first one in a, then in b), and of what is alike before and behind it."""
+    if not a or not b:
+        return 0
+    ends, longest, at = [0] * (len(b) + 1), 0, (0, 0)
+    for i, x in enumerate(a, 1):
+        last = 0
+        for j, y in enumerate(b, 1):
+            # ends[j]: the common stretch that ends before i and at j; last: the one before it.
+            last, ends[j] = ends[j], last + 1 if x == y else 0
+            if ends[j] > longest:
+                longest, at = ends[j], (i, j)
+    if not longest:
+        return 0
+    i, j = at
+    return longest + alike(a[: i - longest], b[: j - longest]) + alike(a[i:], b[j:])
+
+
 @F.pandas_udf(T.DoubleType())
 def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two strings."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    """Ratcliff-Obershelp similarity of two strings: twice what is alike over both lengths; 1 for two empty ones."""
+    return pd.Series([2.0 * alike(x or "", y or "") / ((len(x or "") + len(y or "")) or 1) if x or y else 1.0 for x, y in zip(a, b, strict=True)])
 
 
 @F.pandas_udf(T.StringType())

@@ -29,8 +29,8 @@ def prepared(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str
     return ix.by_start(terms).withColumn("call", F.lit(uuid.uuid4().hex)).persist()
 
 
-def hits(asked: DataFrame, starts: DataFrame) -> DataFrame:
-    """query_id, doc_id, term, start, first_of_stem, length and how the term matched: eb, eh exactly in body or heading, pb, ph by beginning.
+def hits(asked: DataFrame, starts: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """query_id, doc_id, term, start, first_of_stem, length, more columns of starts, and how the term matched: eb, eh exactly in body or heading, pb, ph by beginning.
 
     One equi-join on the beginning: shorter terms are their own beginning, and an exact match is a match by beginning too.
     """
@@ -42,7 +42,7 @@ def hits(asked: DataFrame, starts: DataFrame) -> DataFrame:
     is_set = lambda c: F.coalesce(c, F.lit(False))
     return joined.select(
         "query_id", "doc_id", "term", "start", "first_of_stem", "length", is_set(F.col("exact.in_body")).alias("eb"), is_set(F.col("exact.in_heading")).alias("eh"),
-        (long & F.col("in_body")).alias("pb"), (long & F.col("in_heading")).alias("ph"),
+        (long & F.col("in_body")).alias("pb"), (long & F.col("in_heading")).alias("ph"), *(more or []),
     )
 
 
@@ -51,18 +51,29 @@ def score(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, i
     asked = ix.query_terms(queries, query_id, query_text)
     starts = starts or prepared(docs, queries, query_id, query_text, id_col, text_col)
     stats = ix.length_stats(docs, id_col, text_col).first()  # two numbers
-    n_docs, average = F.lit(stats["n_docs"]), F.lit(stats["avg_length"])
+    n_docs, average = F.lit(stats["n_docs"]), stats["avg_length"]
     words = starts.select(F.explode("words").alias("w")).filter("w.in_body").groupBy(F.col("w.term").alias("term")).agg(F.count(F.lit(1)).alias("df"))
     rarity = words.join(asked.select("term").distinct(), "term", "left_semi").select("term", ix.idf(n_docs, F.col("df")).alias("idf"))
     shares = starts.filter("in_body").groupBy("start").agg(F.count(F.lit(1)).alias("df")).select("start", ix.idf(n_docs, F.col("df")).alias("pidf"))
     # The rarity of its terms goes with the query, which is small, rather than with each match.
     rare = asked.join(rarity, "term", "left").withColumn("start", t.stem_key(F.col("term"))).join(shares, "start", "left").select("query_id", "term", "idf", "pidf")
-    scored = hits(asked, starts).join(rare, ["query_id", "term"])
+    return combined(hits(asked, starts).join(rare, ["query_id", "term"]), average)
+
+
+def combined(scored: DataFrame, average: float, most: bool = False) -> DataFrame:
+    """query_id, doc_id, score, matched of hits with their rarity (idf, pidf); average: tokens of a document.
+
+    most: a term that matches exactly and by beginning counts by the larger of the two, as it may be several documents' hit.
+    """
     zero = F.lit(0).cast(ix.SCORE)
-    body = F.when(F.col("eb"), capped(BODY, F.col("idf"))).when(F.col("pb"), capped(BODY_STEM, F.col("pidf"))).otherwise(zero)
-    heading = F.when(F.col("eh"), capped(HEADING, F.col("idf"))).when(F.col("ph"), capped(HEADING_STEM, F.col("pidf"))).otherwise(zero)
+
+    def field(exact: str, near: str, weight: float, stem_weight: float) -> Column:
+        whole, begun = F.when(F.col(exact), capped(weight, F.col("idf"))), F.when(F.col(near), capped(stem_weight, F.col("pidf")))
+        return F.coalesce(F.greatest(whole, begun) if most else F.coalesce(whole, begun), zero)
+
+    body, heading = field("eb", "pb", BODY, BODY_STEM), field("eh", "ph", HEADING, HEADING_STEM)
     sums = scored.groupBy("query_id", "doc_id").agg(F.sum((body + heading).cast(ix.SCORE)).alias("raw"), F.count_if(F.col("first_of_stem") & (F.length("term") >= 3)).alias("matched"), F.max("length").alias("length"))
-    factor = F.greatest(F.lit(0.65), F.least(F.lit(1.25), F.lit(1.1) / (F.lit(0.6) + F.lit(0.4) * F.col("length") / average)))
+    factor = F.greatest(F.lit(0.65), F.least(F.lit(1.25), F.lit(1.1) / (F.lit(0.6) + F.lit(0.4) * F.col("length") / F.lit(average))))
     # Narrow types keep all nine decimals of the sum.
     whole = F.col("raw").cast("decimal(20,9)") + (PER_STEM * F.col("matched")).cast("decimal(10,0)") + F.when(F.col("matched") >= 2, BOTH).otherwise(0)
     return sums.select("query_id", "doc_id", F.round(whole.cast("decimal(22,9)") * F.round(factor, 9).cast("decimal(12,9)"), 6).cast("decimal(18,6)").alias("score"), "matched")
