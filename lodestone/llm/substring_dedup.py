@@ -11,13 +11,15 @@ cut alike inside it, even where their lines break elsewhere. Paragraphs of at le
 2. Paragraphs of equal sets are one class, by a map-side combined count of digests; whole copies end here.
 3. Bands are joined by one shuffle; the digests of a band stream by in order, each linked to the first.
 4. Colliding classes form candidate clusters by connected components. Their shingle sets are made again from the text of
-   one paragraph each, and compared breadth-first on exact Jaccard similarity (`PERCENT`). A cluster of at most `CLUSTER`
-   classes meets in one task. In a larger one all classes of a band value meet, so that every colliding pair is compared;
-   a band value of very many classes is dealt into parts, and each two of its parts meet in a task of their own.
+   one paragraph each, and those that share a band are compared breadth-first on exact Jaccard similarity (`PERCENT`). A
+   cluster of at most `CLUSTER` classes meets in one task. Of a larger one all classes of a band value meet, and a band
+   value of very many classes is dealt into parts of which each two meet in a task of their own. The pairs that are compared
+   are the same: all that collide.
 5. Components of the confirmed links are the clusters: the paragraph of the smallest (doc_id, position) stays, the others
    are removals.
 6. A removal grows over the words before and after it as far as they equal those around the paragraph that stays, up to
-   the next repeated paragraph of its document or `AROUND` words. So a repeated passage is covered to both its ends.
+   the next repeated paragraph of its document. `AROUND` words on each side are compared first; where all are equal, rounds
+   read twice as many again, of the few texts that are left. So a repeated passage is covered to both its ends.
 
 Edge cases: null and short texts have no paragraphs; a text of fewer than `REACH` words is one. Rows without doc_id are
 ignored, since a removal has to name its document; rows that repeat a doc_id count as one if they are equal, and otherwise
@@ -163,7 +165,9 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in _groups(batches, "key"):
         digest = group.column("digest").to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
-        pairs = [(np.full(len(hit), digest[k]), digest[hit]) for k, hit in confirmed(sets)]
+        bands = _bands(sets)
+        collide = lambda k, others, bands=bands: (bands[k] == bands[others]).any(axis=1)
+        pairs = [(np.full(len(hit), digest[k]), digest[hit]) for k, hit in confirmed(sets, may_link=collide)]
         if pairs:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*pairs, strict=True)], names=["a", "b"])
 
@@ -195,6 +199,49 @@ def _with_gaps(placed: DataFrame, counts) -> DataFrame:
     return placed.withColumns({"left": gap(F.col("start") - F.coalesce(before, F.lit(0))), "right": gap(F.coalesce(after, F.col("size")) - F.col("start") - F.col("n"))})
 
 
+def _stretches(first: int, size: int):
+    """Of a document's wanted edges, the words `first` to `first` + `size` outwards from them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches, 64):
+            out: list[tuple] = []
+            for doc, wanted, utf8 in zip(batch.column("doc").to_pylist(), batch.column("wanted").to_pylist(), utf8_rows(batch, "text"), strict=True):
+                words = hashed(utf8).astype(np.uint32).view(np.int32)
+                for w in wanted:
+                    outwards = words[w["edge"] :] if w["after"] else words[: w["edge"]][::-1]
+                    out.append((doc, w["edge"], w["after"], outwards[first : first + size]))
+            columns = list(zip(*out, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.bool_(), pa.list_(pa.int32())), strict=True)], names=["doc", "edge", "after", "words"])
+
+    return run
+
+
+def _grown_on(edges: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """doc, start, after, more: how far a removal grows where the first `AROUND` words were all equal.
+
+    edges: doc, start, n, keep, left, right, more_before, more_after. Each round reads the texts of those that are equal so far.
+    """
+    side = lambda after, gap, more: edges.filter((F.col(more) == AROUND) & (F.col(gap) > AROUND)).select(
+        "doc", "start", F.lit(after).alias("after"), (F.col("start") + (F.col("n") if after else 0)).alias("edge"), F.col("keep.doc").alias("keep_doc"),
+        (F.col("keep.start") + (F.col("keep.n") if after else 0)).alias("keep_edge"), F.col(gap).alias("gap"), F.col(more).alias("more"),
+    )
+    pending = scratch.cut(side(False, "left", "more_before").unionByName(side(True, "right", "more_after")), "pending")
+    done, first, size = pending, AROUND, 2 * AROUND
+    while pending.limit(1).count():
+        asked = pending.select("doc", "edge", "after").unionByName(pending.select(F.col("keep_doc").alias("doc"), F.col("keep_edge").alias("edge"), "after")).distinct()
+        wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("edge", "after")).alias("wanted"))
+        read = texts.join(wanted, "doc").mapInArrow(_stretches(first, size), "doc long, edge int, after boolean, words array<int>").dropDuplicates(["doc", "edge", "after"])
+        read = scratch.cut(read, "stretches")
+        kept = read.select(F.col("doc").alias("keep_doc"), F.col("edge").alias("keep_edge"), "after", F.col("words").alias("kept_words"))
+        met = pending.join(read, ["doc", "edge", "after"]).join(kept, ["keep_doc", "keep_edge", "after"]).withColumn("agreed", _agreed("words", "kept_words"))
+        met = met.withColumn("more", F.least("gap", F.col("more") + F.col("agreed"))).select(*pending.columns, "agreed")
+        met = scratch.cut(met, "grown")
+        done = done.unionByName(met.drop("agreed"))
+        pending = met.filter((F.col("agreed") == size) & (F.col("more") < F.col("gap"))).drop("agreed")
+        first, size = first + size, 2 * size
+    return done.groupBy("doc", "start", "after").agg(F.max("more").alias("more"))
+
+
 def repeated_paragraphs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, n_words, keep_doc_id, keep_start, removed and text_words of every repeated paragraph, grown to the ends of its repeat; positions in words."""
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -236,7 +283,14 @@ def repeated_paragraphs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id
     kept_words = around.join(kept.select(F.col("keep.doc").alias("doc"), F.col("keep.start").alias("start")).distinct(), ["doc", "start"])
     kept_words = kept_words.select(F.struct("doc", "start").alias("at"), F.col("before").alias("kept_before"), F.col("after").alias("kept_after"))
     edges = found.filter("removed and (left > 0 or right > 0)").join(around, ["doc", "start"]).withColumn("at", F.struct("keep.doc", "keep.start")).join(kept_words, "at")
-    edges = edges.select("doc", "start", "at", F.least("left", _agreed("before", "kept_before")).alias("more_before"), F.least("right", _agreed("after", "kept_after")).alias("more_after"))
+    near_words = lambda gap, own, kept: F.least(gap, _agreed(own, kept))
+    edges = edges.select("doc", "start", "n", "keep", "at", "left", "right", near_words("left", "before", "kept_before").alias("more_before"), near_words("right", "after", "kept_after").alias("more_after"))
+    edges = scratch.cut(edges, "edges")
+    further = scratch.cut(_grown_on(edges, texts, scratch), "further")
+    for after, more in ((False, "more_before"), (True, "more_after")):
+        longer = further.filter(F.col("after") == after).select("doc", "start", F.col("more").alias("longer"))
+        edges = edges.join(longer, ["doc", "start"], "left").withColumn(more, F.coalesce("longer", more)).drop("longer")
+    edges = edges.select("doc", "start", "at", "more_before", "more_after")
     # The paragraph that stays is repeated as far as the longest of its copies.
     sides = edges.unionByName(edges.withColumns({"doc": F.col("at.doc"), "start": F.col("at.start")}))
     grown = sides.groupBy("doc", "start").agg(F.max("more_before").alias("more_before"), F.max("more_after").alias("more_after"))

@@ -173,7 +173,7 @@ def test_every_long_repeat_is_found(spark):
 
 
 def test_paragraphs_against_brute_force(spark):
-    """All pairs of paragraphs on exact Jaccard similarity: the clusters are their components."""
+    """All colliding pairs of paragraphs on exact Jaccard similarity: the clusters are their components, and nearly those of all pairs."""
     rnd = random.Random(21)
     base = [prose(rnd, 60) for _ in range(12)]
     rows = []
@@ -189,25 +189,42 @@ def test_paragraphs_against_brute_force(spark):
     for i, text in sorted(set(rows), key=lambda r: r[0]):
         starts, _, sets = substring_dedup.paragraphs(substring_dedup.hashed((text or "").encode()))
         units += [(i, int(a), set(x.tolist())) for a, x in zip(starts, sets, strict=True)]
-    root = list(range(len(units)))
-
-    def find(k):
-        while root[k] != k:
-            k = root[k]
-        return k
-
-    for a in range(len(units)):
-        for b in range(a):
-            x, y = units[a][2], units[b][2]
-            if 100 * len(x & y) >= 75 * len(x | y):
-                ra, rb = find(a), find(b)
-                root[max(ra, rb)] = min(ra, rb)
-    sizes = {}
-    for k in range(len(units)):
-        sizes.setdefault(find(k), []).append(k)
-    gone = {(units[k][0], units[own[0]][:2]) for own in sizes.values() for k in own[1:]}
+    bands = substring_dedup._bands([np.array(sorted(u[2]), np.uint64) for u in units])
+
+    def removals(every: bool):
+        root = list(range(len(units)))
+
+        def find(k):
+            while root[k] != k:
+                k = root[k]
+            return k
+
+        for a in range(len(units)):
+            for b in range(a):
+                x, y = units[a][2], units[b][2]
+                if 100 * len(x & y) >= 75 * len(x | y) and (every or (bands[a] == bands[b]).any()):
+                    ra, rb = find(a), find(b)
+                    root[max(ra, rb)] = min(ra, rb)
+        sizes = {}
+        for k in range(len(units)):
+            sizes.setdefault(find(k), []).append(k)
+        return {(units[k][0], units[own[0]][:2]) for own in sizes.values() for k in own[1:]}
+
     found = {(r.doc_id, (r.keep_doc_id, r.keep_start)) for r in got if r.removed}
-    assert len(gone) > 60 and len(found & gone) >= 0.97 * len(gone) and len(found - gone) <= 0.03 * len(gone)
+    gone = removals(True)
+    assert found == removals(False) and len(found & gone) >= 0.97 * len(gone)
+
+
+def test_removals_grow_to_the_end_of_very_long_repeats(spark):
+    """One word said hundreds of times has one paragraph with a cut; the removal goes as far as the words agree, beyond any first look."""
+    rnd = random.Random(30)
+    head = prose(rnd, 40)
+    same = ["tick"] * 700
+    rows = [(1, [*prose(rnd, 30), *head, *same, "stop"]), (2, [*prose(rnd, 25), *head, *same, "end"]), (3, [*prose(rnd, 20), *head, *same[:300]])]
+    found = {r.doc_id: r for r in substring_dedup.spans(substring_dedup.repeated_paragraphs(docs_of(spark, [(k, " ".join(w)) for k, w in rows]), Scratch(spark, "t"))).collect()}
+    for doc, end in ((2, 25 + 40 + 700), (3, 20 + 40 + 300)):
+        gone = {k for s in found[doc].removed_spans for k in range(s.start, s.end)}
+        assert max(gone) == end - 1 and len(gone) >= end - {2: 25, 3: 20}[doc] - 8
 
 
 def test_similar_paragraphs_of_a_large_cluster_meet(spark, monkeypatch):
