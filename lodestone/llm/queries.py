@@ -47,7 +47,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "op6")
     path = scratch.path("archives")
     warc.write(warc.plan_records(read(spark, sf_dir, "pages"), scratch), path)
-    return warc.load(spark, path, payload="digest").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # Responses are decoded; of revisits, which a pushed filter picks by their headers, nothing is.
+    responses = warc.load(spark, path, payload="digest").filter("record_type = 'response'")
+    revisits = warc.load(spark, path, payload="none").filter("record_type = 'revisit'")
+    return responses.unionByName(revisits).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

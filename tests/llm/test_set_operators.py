@@ -297,12 +297,64 @@ def test_warc_round_trip(spark):
     assert warc.load(spark, empty).count() == 0
 
 
-def test_warc_rejects_cut_archives(spark, tmp_path):
-    row = {"page_id": 1, "record_type": "response", "target_uri": "u", "payload": b"abc", "payload_digest": "X", "payload_bytes": 3, "refers_to": None}
-    (tmp_path / "a.warc").write_bytes(warc.record(row)[:-6])
+ROW = {"page_id": 1, "record_type": "response", "target_uri": "u", "payload": b"abc", "payload_digest": "X", "payload_bytes": 3, "refers_to": None}
+
+
+@pytest.mark.parametrize("pack", [bytes, warc.member, __import__("gzip").compress])
+def test_warc_rejects_cut_archives(spark, tmp_path, pack):
+    whole = pack(warc.record(ROW))
+    (tmp_path / "a.warc").write_bytes(whole[: len(whole) - (12 if pack is not bytes else 6)])
     (tmp_path / "_manifest").write_text("a.warc")
     with pytest.raises(Exception, match="not whole"):
         warc.load(spark, str(tmp_path)).collect()
+    (tmp_path / "a.warc").write_bytes(pack(b"WARC/1.1\r\nno colon\r\n\r\n"))
+    with pytest.raises(Exception, match="malformed"):
+        warc.load(spark, str(tmp_path)).collect()
+
+
+def test_warc_records_follow_the_standard():
+    """Fields that WARC/1.1 requires, HTTP blocks, and revisits that name their response."""
+    import gzip
+    import hashlib
+
+    digest = warc.base32(hashlib.sha1(b"abc").digest())
+    first = warc.record(ROW | {"payload_digest": digest}, "2024-01-02T03:04:05Z")
+    again = warc.record(ROW | {"page_id": 0, "record_type": "revisit", "payload": None, "payload_digest": digest, "refers_to": 1})
+    heads = []
+    for data in (first, again):
+        head, _, rest = data.partition(b"\r\n\r\n")
+        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
+        assert {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length", "Content-Type"} <= set(fields) and head.startswith(b"WARC/1.1")
+        assert rest.endswith(b"\r\n\r\n") and int(fields["Content-Length"]) == len(rest) - 4 and rest.startswith(b"HTTP/1.1 200 OK\r\n")
+        heads.append(fields)
+    assert heads[0]["WARC-Date"] == "2024-01-02T03:04:05Z" and heads[1]["WARC-Refers-To"] == heads[0]["WARC-Record-ID"] != heads[1]["WARC-Record-ID"] and "WARC-Profile" in heads[1]
+    assert gzip.decompress(warc.member(first) + warc.member(again)) == first + again
+
+
+def test_foreign_warc_archives(spark, tmp_path):
+    """Archives made by hand, without manifest, page ids or extra fields: plain, by record and nested folders."""
+    import gzip
+
+    def made(kind, uri, block, content="application/http; msgtype=response"):
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{uri}>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nWARC-Target-URI: {uri}\r\nContent-Type: {content}\r\nContent-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n3\r\nabc\r\n4;x=1\r\ndefg\r\n0\r\n\r\n"
+    large = b"HTTP/1.1 200 OK\r\n\r\n" + np.random.default_rng(1).bytes(300_000)
+    parts = [made("warcinfo", "info", b"software: x", "application/warc-fields"), made("response", "http://a", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"), made("response", "http://c", chunked), made("resource", "http://r", b"plain", "text/plain"), made("response", "http://l", large)]
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "one.warc.gz").write_bytes(b"".join(map(gzip.compress, parts)))
+    (tmp_path / "two.warc").write_bytes(b"".join(parts))
+    (tmp_path / "notes.txt").write_text("no archive")
+    got = warc.load(spark, str(tmp_path)).collect()
+    want = {"info": b"software: x", "http://a": b"body", "http://c": b"abcdefg", "http://r": b"plain", "http://l": large[19:]}
+    assert len(got) == 10 and all(bytes(r.payload) == want[r.target_uri] and r.payload_bytes == len(want[r.target_uri]) and r.page_id is None for r in got)
+    assert warc.load(spark, str(tmp_path / "two.warc")).filter("record_type = 'resource'").count() == 1
+    for mode in ("none", "digest", "full"):
+        pushed = warc.load(spark, str(tmp_path), mode).filter("target_uri in ('http://c', 'http://l') and record_type = 'response'").collect()
+        assert sorted(r.target_uri for r in pushed) == ["http://c"] * 2 + ["http://l"] * 2
+    reader = warc.WarcReader({"path": str(tmp_path)})
+    assert not list(reader.pushFilters([warc.In(("record_type",), (None,))])) and not reader._wanted({b"warc-type": b"response"})
+    assert not list(reader.pushFilters([warc.IsNotNull(("record_type",))])) and reader.wanted[-1] == ("record_type", None)
 
 
 def small_lm(texts, size=150):
