@@ -139,14 +139,15 @@ def _link_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(digest[linked]), pa.array(first[linked])], names=["a", "b"])
 
 
-MADE = "keys array<long>, digest long, doc long, start int, shingles binary, before array<int>, after array<int>"
+MADE = "keys array<long>, digest long, doc long, start int, shingles binary, bands binary, before array<int>, after array<int>"
 
 
 def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a document's wanted paragraphs: the shingle sets of those with keys, and the words around those at the edge of a repeat."""
-    kinds = (pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
+    kinds = (pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int32()), pa.list_(pa.int32()))
     for batch in small(batches, 64):
-        out: list[tuple] = []
+        out: list[list] = []
+        compared, rows = [], []
         for doc, wanted, utf8 in zip(batch.column("doc").to_pylist(), batch.column("wanted").to_pylist(), utf8_rows(batch, "text"), strict=True):
             words = hashed(utf8)
             for w in wanted:
@@ -156,7 +157,12 @@ def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(made) and np.uint64(_digest(made)).view(np.int64) == w["digest"]:
                     before, after = words[max(0, start - AROUND) : start][::-1] if w["left"] else [], words[end : end + AROUND] if w["right"] else []
                     short = [np.asarray(x, np.uint64).astype(np.uint32).view(np.int32) for x in (before, after)]
-                    out.append((w["keys"], w["digest"], doc, start, made.tobytes() if w["keys"] else None, *short))
+                    if w["keys"]:
+                        compared.append(made)
+                        rows.append(len(out))
+                    out.append([w["keys"], w["digest"], doc, start, made.tobytes() if w["keys"] else None, None, *short])
+        for row, bands in zip(rows, _bands(compared) if compared else (), strict=True):
+            out[row][5] = bands.tobytes()
         columns = list(zip(*out, strict=True)) or [[]] * len(kinds)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in MADE.split(", ")])
 
@@ -165,7 +171,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in _groups(batches, "key"):
         digest = group.column("digest").to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
-        bands = _bands(sets)
+        bands = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)
         collide = lambda k, others, bands=bands: (bands[k] == bands[others]).any(axis=1)
         pairs = [(np.full(len(hit), digest[k]), digest[hit]) for k, hit in confirmed(sets, may_link=collide)]
         if pairs:
@@ -270,7 +276,7 @@ def repeated_paragraphs(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id
     )
     wanted = asked.groupBy("doc").agg(F.collect_list(F.struct("start", "n", "digest", "keys", "left", "right")).alias("wanted"))
     made = scratch.cut(texts.join(wanted, "doc").mapInArrow(_made, MADE), "made")
-    sets = made.filter("shingles is not null").select(F.explode("keys").alias("key"), "digest", "shingles").distinct()
+    sets = made.filter("shingles is not null").select(F.explode("keys").alias("key"), "digest", "shingles", "bands").distinct()
     links = scratch.cut(sets.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_confirm, "a long, b long"), "links")
     near = scratch.cut(components(links, scratch).select(F.col("node").alias("digest"), F.col("component").alias("root")), "near")
 
