@@ -57,6 +57,11 @@ def casefold(c: Column | str) -> Column:
     return F.replace(F.lower(F.trim(F.regexp_replace(text(c), r"(?U)\s+", " "))), F.lit("ß"), F.lit("ss"))
 
 
+def casefold_only(c: Column | str) -> Column:
+    """Lower case with ß as ss; white space stays."""
+    return F.replace(F.lower(text(c)), F.lit("ß"), F.lit("ss"))
+
+
 def evidence_form(c: Column | str) -> Column:
     """For matching quotes: tags out, common entities resolved, case folded, quotes and dashes unified, white space collapsed."""
     out = text(c)

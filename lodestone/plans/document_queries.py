@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as t
 from ..operators import evidence as ev
+from ..operators import mentions as mn
 from ..sources import documents as sd
 from ..sources.versions import blob_sha1
 from .queries import table
@@ -143,3 +144,63 @@ def quote_positions(spark, sf_dir):
     k = F.col("doc_id") % 3
     quote = F.when(k == 0, F.col("q")).when(k == 1, F.upper(F.regexp_replace("q", r"[ \t\n\r]+", "\t  "))).otherwise(F.concat("q", F.lit("#")))
     return docs.select("doc_id", ev.located(F.col("text"), quote).alias("at")).select("doc_id", "at.start", "at.end")
+
+
+CLAIM_SQL = "list_filter(list_transform(flatten(list_transform(string_split({x}, chr(10)), lambda l: string_split(regexp_replace(trim(l, ' ' || chr(9) || chr(13)), '([.!?])\\s+([A-ZÕÄÖÜ0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)))), lambda c: trim(c)), lambda c: c <> '')"
+CITED = "\\[\\s*([A-ZÕÄÖÜa-zõäöü]+_\\d+(?:[Bb]\\d+|[A-Za-z])?)\\s*\\]"
+
+
+@query(f"""
+    WITH a AS (SELECT conv_id * 1000 + turn AS answer_id, coalesce(text, '') || CASE WHEN turn % 4 = 1 THEN ' See [doc_1].' ELSE '' END AS answer FROM conversations WHERE role = 'assistant'),
+    w AS (SELECT doc_id, source, list_filter(string_split_regex(trim(left(coalesce(text, ''), 200)), '[ \\t\\n\\r]+'), lambda x: x <> '') AS w FROM documents),
+    terms AS (SELECT DISTINCT term FROM (
+        SELECT upper(source) || 'X' AS term FROM documents WHERE source IS NOT NULL
+        UNION ALL SELECT array_to_string(list_slice(w, 1, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END), ' ') FROM w WHERE doc_id % 3 = 0) WHERE term <> ''),
+    c AS (SELECT answer_id, k - 1 AS claim_no, cs[k] AS claim FROM (SELECT answer_id, cs, unnest(generate_series(1, len(cs))) AS k FROM (SELECT answer_id, {CLAIM_SQL.format(x='answer')} AS cs FROM a))),
+    o AS (SELECT * FROM c WHERE NOT regexp_matches(claim, '{CITED}')),
+    m AS (
+        SELECT DISTINCT answer_id, claim_no, term FROM o JOIN terms ON CASE WHEN length(term) > 12 THEN contains(lower(claim), lower(term))
+            ELSE contains(upper(replace(claim, 'ß', 'ss')), upper(term)) AND regexp_matches(upper(replace(claim, 'ß', 'ss')), '(^|[^A-ZÕÄÖÜ])' || regexp_replace(upper(term), '([^A-Za-z0-9 \\x80-\\x{{10FFFF}}])', '\\\\\\1', 'g') || '($|[^A-ZÕÄÖÜ])') END
+    )
+    SELECT o.answer_id, CAST(o.claim_no AS INT) AS claim_no, coalesce(ts, '') AS terms, md5(claim) AS claim_md5 FROM o LEFT JOIN (SELECT answer_id, claim_no, string_agg(term, '|' ORDER BY term) AS ts FROM m GROUP BY ALL) m USING (answer_id, claim_no)
+    WHERE ts IS NOT NULL OR regexp_matches(claim, '(?i)(^|[^\\pL\\pN_])(VÕS|VOS|TLS|KarS|KrMS|TsMS|seadus|seaduse|paragrahv|paragrahvi)($|[^\\pL\\pN_])|§')""")
+def uncited_mentions(spark, sf_dir):
+    """Claims of assistants' turns that have a document's first words, or a source's name, without citing; every fourth turn ends with a citation."""
+    turns = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    answers = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), F.concat(t.text("text"), F.when(F.col("turn") % 4 == 1, " See [doc_1].").otherwise("")).alias("answer"))
+    docs = table(spark, sf_dir, "documents")
+    w = F.filter(F.split(F.trim(F.left(t.text("text"), F.lit(200))), r"[ \t\n\r]+"), lambda x: x != "")
+    name = F.when(F.col("doc_id") % 3 == 0, F.array_join(F.slice(w, 1, F.when(F.col("doc_id") % 2 == 0, 1).otherwise(2)), " "))
+    registry = docs.select(F.concat("source", F.lit("x_"), F.col("doc_id").cast("string")).alias("id"), name.alias("law_name"))
+    found = mn.uncited_mentions(answers, registry)
+    return found.select("answer_id", "claim_no", F.array_join("terms", "|").alias("terms"), F.md5("claim").alias("claim_md5"))
+
+
+HEADINGS = {"KOKKUVÕTE": 2, "SOOVITUSED": 3}
+
+
+def section_sql(name: str, most: int) -> str:
+    letters = "[A-ZÕÄÖÜa-zõäöü]"
+    return f"""
+        SELECT answer_id, '{name}' AS heading, list_slice(list_filter(list_transform(string_split(part, chr(10)), lambda l: trim(regexp_replace(l, '^\\s*([-•]|\\d+[.)])\\s*', ''), ' ' || chr(9) || chr(13))), lambda x: x <> ''), 1, {most}) AS items, rest
+        FROM (SELECT answer_id, rest, CASE WHEN stop = '' THEN rest ELSE left(rest, strpos(rest, stop) - 1) END AS part FROM (
+            SELECT *, regexp_extract(rest, '\\n{letters}[A-ZÕÄÖÜa-zõäöü\\s]+:') AS stop FROM (
+                SELECT answer_id, substr(answer, strpos(answer, head) + length(head)) AS rest FROM (SELECT answer_id, answer, regexp_extract(answer, '(?i)(^|\\n){name}\\s*:\\s*') AS head FROM a) WHERE head <> '')))"""
+
+
+@query(f"""
+    WITH a AS (
+        SELECT doc_id AS answer_id, 'kokkuvõte: ' || x || chr(10) || '1) ' || y || chr(10) || chr(10) || 'Soovitused :' || chr(10) || '- ' || y || chr(10) || '  • ' || x || chr(10) || CASE WHEN doc_id % 2 = 0 THEN 'MUU OSA: ' ELSE '' END || y || chr(10) || '3. ' || x AS answer
+        FROM (SELECT doc_id, replace(substr(text, 1, 40), ':', ' ') AS x, replace(substr(text, 41, 60), ':', ' ') AS y FROM documents WHERE length(text) >= 120)
+    ), s AS ({section_sql('KOKKUVÕTE', 2)} UNION ALL {section_sql('SOOVITUSED', 3)})
+    SELECT answer_id, heading, CAST(k AS INT) AS item_no, items[k] AS item, TRUE AS there FROM (SELECT *, unnest(generate_series(1, len(items))) AS k FROM s)""")
+def answer_sections(spark, sf_dir):
+    """Answers with two known headings and another one, made of documents' beginnings; there: the item stands at its place."""
+    docs = table(spark, sf_dir, "documents").filter(F.length("text") >= 120)
+    x, y = (F.replace(F.substring("text", F.lit(a), F.lit(n)), F.lit(":"), F.lit(" ")) for a, n in ((1, 40), (41, 60)))
+    lit = F.lit
+    answer = F.concat(lit("kokkuvõte: "), x, lit("\n1) "), y, lit("\n\nSoovitused :\n- "), y, lit("\n  • "), x, lit("\n"), F.when(F.col("doc_id") % 2 == 0, "MUU OSA: ").otherwise(""), y, lit("\n3. "), x)
+    answers = docs.select(F.col("doc_id").alias("answer_id"), answer.alias("answer"))
+    found = mn.sections(answers, HEADINGS).join(answers, "answer_id")
+    there = F.substring("answer", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("item")
+    return found.select("answer_id", "heading", "item_no", "item", there.alias("there"))
