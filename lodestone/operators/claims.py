@@ -48,9 +48,11 @@ def diagnostics(claim: Column, evidence: Column, most: int = 40) -> Column:
 
 
 def _sourced(claims: DataFrame, sources: DataFrame, how: str) -> DataFrame:
-    """Claims with the text of their source as __source, null without one; of sources with equal ids the least text."""
-    own = sources.groupBy(t.canonical_id("source_id").alias("__key")).agg(F.min(t.text("text")).alias("__source"))
-    return claims.withColumn("__key", t.canonical_id("source_id")).join(own, "__key", how).drop("__key")
+    """Claims with the text of their source as __source, null without one; of sources with equal ids the least text. Only sources that are named are shuffled."""
+    keyed = claims.withColumn("__key", t.canonical_id("source_id"))
+    named = sources.select(t.canonical_id("source_id").alias("__key"), t.text("text").alias("text")).join(keyed.select("__key").distinct(), "__key", "left_semi")
+    own = named.groupBy("__key").agg(F.min("text").alias("__source"))
+    return keyed.join(own, "__key", how).drop("__key")
 
 
 def recovered(claims: DataFrame, sources: DataFrame, least: int = 24) -> DataFrame:
@@ -118,10 +120,12 @@ def source_digest(rows: DataFrame, sources: DataFrame, by: str, most: int = 2) -
     rows: (by, place, groups array<array<string>>); sources: (source_id, text).
     """
     groups = rows.select(by, "place", F.posexplode("groups").alias("g", "ids")).select(by, "place", "g", F.posexplode("ids").alias("i", "source_id"))
-    own = sources.groupBy(t.record_id("source_id").alias("id")).agg(F.min(t.text("text")).alias("text"))
-    there = groups.withColumn("id", t.record_id("source_id")).join(own.select("id"), "id", "left_semi")
+    groups = groups.withColumn("id", t.record_id("source_id"))
+    named = sources.select(t.record_id("source_id").alias("id"), t.text("text").alias("text")).join(groups.select("id").distinct(), "id", "left_semi")
+    there = groups.join(named.select("id").distinct(), "id", "left_semi")
     chosen = there.groupBy(by, "place", "g").agg(F.min_by("id", "i").alias("id")).groupBy(by, "id").agg(F.min(F.struct("place", "g")).alias("at"))
     line = lambda s: F.concat(F.regexp_replace(s, r"[.!?;:]+\z", ""), F.lit(" ["), F.col("id"), F.lit("]."))
+    own = named.join(chosen.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("text").alias("text"))
     said = chosen.join(own, "id").select(by, "at", "id", F.transform(F.slice(t.sentences("text"), 1, most), line).alias("s")).filter(F.size("s") > 0)
     listed = said.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("at", "id", "s"))).alias("l"))
     return listed.select(by, F.array_join(F.flatten(F.transform("l", lambda x: x["s"])), "\n").alias("lines"), F.transform("l", lambda x: x["id"]).alias("ids"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
+from ..sources.staging import written
 from . import index as ix
 
 # Weights of the field-aware scorer.
@@ -21,12 +20,9 @@ def capped(weight: float, value: Column) -> Column:
 
 
 def prepared(docs: DataFrame, queries: DataFrame, query_id: str, query_text: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The postings that a batch of queries can meet, by beginning, held by Spark as they are first made, for scorers that read them several times.
-
-    They belong to this call alone; unpersist() frees them, and Spark makes lost parts again.
-    """
+    """The postings that a batch of queries can meet, by beginning, written once in the shared folder for scorers that read them several times."""
     terms = ix.postings(docs, id_col, text_col, ix.query_terms(queries, query_id, query_text))
-    return ix.by_start(terms).withColumn("call", F.lit(uuid.uuid4().hex)).persist()
+    return written(ix.by_start(terms), "postings")
 
 
 def hits(asked: DataFrame, starts: DataFrame, more: list[str] | None = None) -> DataFrame:

@@ -87,8 +87,11 @@ def user_evidence(turns: DataFrame, conv: str, turn: str, role: str, text: str,
     """conv, evidence, n_turns: what the user says, in order, without markers of answers; a conversation is one row."""
     plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?im)^\s*(answer|vastus)\s*:\s*", ""))
     own = turns.filter(F.col(role) == "user").select(conv, turn, plain.alias("__t")).filter("__t <> ''")
-    joined = own.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, "__t"))).alias("__l"))
-    return joined.select(conv, F.left(F.array_join(F.transform("__l", lambda x: x["__t"]), "\n"), F.lit(most)).alias("evidence"), F.size("__l").alias("n_turns"))
+    # What begins beyond the cut is not gathered.
+    before = F.sum(F.length("__t") + 1).over(Window.partitionBy(conv).orderBy(turn, "__t").rowsBetween(Window.unboundedPreceding, -1))
+    own = own.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(conv))).withColumn("__before", F.coalesce(before, F.lit(0))).filter(F.col("__before") < most)
+    joined = own.groupBy(conv).agg(F.array_sort(F.collect_list(F.struct(turn, "__t"))).alias("__l"), F.max("__n").cast("int").alias("n_turns"))
+    return joined.select(conv, F.left(F.array_join(F.transform("__l", lambda x: x["__t"]), "\n"), F.lit(most)).alias("evidence"), "n_turns")
 
 
 def answer_pairs(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
@@ -128,8 +131,9 @@ def repaired_citations(value: Column, known: Column) -> Column:
 
 def admitted(rows: DataFrame, reference: DataFrame, key: str, fields: list[str], batch: str) -> DataFrame:
     """batch, rows, equal, admitted: whether all rows of a batch equal the reference in all fields; one that differs rejects the batch."""
-    own = reference.select(key, F.struct(*fields).alias("__ref"))
-    joined = rows.select(batch, key, F.struct(*fields).alias("__own")).join(own, key, "left").withColumn("__same", F.col("__own").eqNullSafe(F.col("__ref")))
+    whole = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)  # digests are compared, not texts
+    own = reference.select(key, whole.alias("__ref"))
+    joined = rows.select(batch, key, whole.alias("__own")).join(own, key, "left").withColumn("__same", F.col("__own").eqNullSafe(F.col("__ref")))
     return joined.groupBy(batch).agg(F.count(F.lit(1)).alias("rows"), F.count_if("__same").alias("equal"), F.bool_and("__same").alias("admitted"))
 
 

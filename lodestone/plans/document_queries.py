@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from ..functions import text as t
 from ..operators import evidence as ev
 from ..operators import mentions as mn
+from ..operators import obligations as ob
+from ..operators import revisions as rv
 from ..sources import documents as sd
 from ..sources.versions import blob_sha1
 from .queries import table
@@ -204,3 +206,102 @@ def answer_sections(spark, sf_dir):
     found = mn.sections(answers, HEADINGS).join(answers, "answer_id")
     there = F.substring("answer", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("item")
     return found.select("answer_id", "heading", "item_no", "item", there.alias("there"))
+
+
+@query("""
+    WITH r AS (SELECT o_orderkey, o_custkey, CAST(o_orderdate AS DATE) AS a, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + CAST(o_orderkey % 400 AS INT) END AS b, o_orderkey % 7 <> 0 OR o_orderkey % 14 = 0 AS whole FROM orders),
+    q AS (SELECT l_orderkey * 10 + l_linenumber AS request, o_custkey, CAST(l_shipdate AS DATE) AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+    m AS (SELECT request, min(o_orderkey) AS act, count(DISTINCT o_orderkey) AS n FROM q JOIN r USING (o_custkey) WHERE whole AND d >= a AND d < coalesce(b, DATE '9999-01-01') GROUP BY request),
+    k AS (SELECT o_custkey, min(CASE WHEN whole THEN a END) AS first, bool_or(NOT whole) AS holes FROM r GROUP BY o_custkey)
+    SELECT request, CASE WHEN n = 1 THEN act END AS act_id, coalesce(n, 0) AS n_acts,
+           CASE WHEN n > 1 THEN 'several acts' WHEN n = 1 THEN NULL WHEN first IS NULL OR holes THEN 'incomplete interval' WHEN d < first THEN 'not yet in force' ELSE 'no longer in force' END AS reason
+    FROM q LEFT JOIN m USING (request) LEFT JOIN k USING (o_custkey)""")
+def current_revision(spark, sf_dir):
+    """Orders as revisions of their customer's act, shipping days as requests; every seventh end is missing, half of these are open."""
+    orders = table(spark, sf_dir, "orders")
+    key, start = F.col("o_orderkey"), F.col("o_orderdate").cast("date")
+    title = F.concat(F.lit("Act "), F.col("o_custkey").cast("string")).alias("title")
+    revisions = orders.select(key.alias("act_id"), title, start.alias("valid_from"), F.when(key % 7 != 0, F.date_add(start, (key % 400).cast("int"))).alias("valid_to"), (key % 14 == 0).alias("open"))
+    lines = table(spark, sf_dir, "lineitem").join(orders.select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    requests = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("request"), title, F.col("l_shipdate").cast("date").alias("as_of"))
+    return rv.resolve(requests, revisions, F.lit("2100-01-01").cast("date"))
+
+
+SITE = "https://acts.example"
+#: A file's hash stands for all of a source's documents.
+CHAIN = f"""
+    s AS (SELECT source, sha256('file ' || source) AS x FROM documents WHERE source IS NOT NULL GROUP BY source),
+    v AS (
+        SELECT source, CAST(regexp_extract(source, '[0-9]+') AS BIGINT) AS act_id, x,
+               sha256('{{"act_id":"' || CAST(regexp_extract(source, '[0-9]+') AS BIGINT) || '","act_type":"seadus","authority_class":"binding_national_law","issuer":"i","publication_series":"RT I","source_id":"RT_NATIONAL_LAW","title":"Act ' || source || '","valid_from":"2020-01-01","valid_to":null,"version":"revision-1","xml_sha256":"' || x || '"}}') AS rh FROM s
+    ),
+    d AS (SELECT doc_id, doc_id % 8 AS k, text, act_id, x, rh, sha256(text) AS ch FROM documents JOIN v USING (source) WHERE trim(coalesce(text, ''), ' ') <> ''),
+    h AS (SELECT *, sha256('{{"act_id":"' || act_id || '","content_sha256":"' || ch || '","revision_sha256":"' || rh || '","section":"' || doc_id || '","version":"section-1"}}') AS sh FROM d)"""
+
+
+@query(f"""
+    WITH {CHAIN}
+    SELECT doc_id, CASE WHEN k = 6 THEN sha256(sh) ELSE sh END AS section_sha256,
+           CASE k WHEN 1 THEN 'content hash' WHEN 2 THEN 'section hash' WHEN 3 THEN 'wrong section url' WHEN 4 THEN 'future date' WHEN 5 THEN 'authority disagrees' WHEN 6 THEN 'section hash' WHEN 7 THEN 'unknown revision' END AS reason
+    FROM h""")
+def section_chain(spark, sf_dir):
+    """Documents as sections of their source's act, retrieved with hashes and admitted again; seven of eight records are spoilt in one respect."""
+    docs = table(spark, sf_dir, "documents").filter(F.trim(t.text("text")) != "").filter("source is not null")
+    number = F.regexp_extract("source", "[0-9]+", 0).cast("long").alias("act_id")
+    lit = F.lit
+    acts = docs.select("source", number).distinct()
+    files = acts.select("act_id", F.encode(F.concat(lit("file "), "source"), "UTF-8").alias("content"))
+    metadata = acts.select(
+        "act_id", F.concat(lit("Act "), "source").alias("title"), lit("RT_NATIONAL_LAW").alias("source_id"), lit("binding_national_law").alias("authority_class"), lit("i").alias("issuer"), lit("seadus").alias("act_type"),
+        lit("2020-01-01").cast("date").alias("valid_from"), lit(None).cast("date").alias("valid_to"), lit("RT I").alias("publication_series"),
+    )
+    revisions = rv.files_to_revisions(files, metadata)
+    sections = docs.select(number, F.col("doc_id").cast("string").alias("section"), lit("").alias("heading"), "text")
+    requests = sections.select("act_id", lit("").alias("domain"), F.concat(lit("§ "), "section", lit(".")).alias("section"), lit("2024-01-01").alias("as_of"))
+    records = rv.retrieve(requests, revisions, sections, SITE).withColumn("doc_id", F.col("section").cast("long"))
+    is_ = lambda k: F.col("doc_id") % 8 == k
+    spoilt = records.withColumns({
+        "text": F.when(is_(1), F.concat("text", lit("!"))).otherwise(F.col("text")), "revision_sha256": F.when(is_(2), F.sha2("revision_sha256", 256)).otherwise(F.col("revision_sha256")),
+        "url": F.when(is_(3), F.concat("url", lit("x"))).otherwise(F.col("url")), "as_of_date": F.when(is_(4), lit("2999-01-01").cast("date")).otherwise(F.col("as_of_date")),
+        "authority_class": F.when(is_(5), "binding_local_law").otherwise(F.col("authority_class")), "section_sha256": F.when(is_(6), F.sha2("section_sha256", 256)).otherwise(F.col("section_sha256")),
+    })
+    checked = rv.admit(spoilt.filter(~is_(7)), revisions, SITE).unionByName(rv.admit(spoilt.filter(is_(7)), revisions.limit(0), SITE))
+    return checked.select("doc_id", "section_sha256", "reason")
+
+
+#: Rules over the items' own words.
+ITEM_RULES = [
+    (1, "what", "ask", None, [], True, "general   what", "intent:ask", False), (2, "what", "tell", None, [], True, "second what", "intent:tell", False), (3, "when", "tell", None, [], True, "general when", "intent:tell", False),
+    (4, "when", None, "english", [["the "], ["of ", "to "]], False, "english when", "english:of", True), (5, "what", "ask", "latin", [], False, "latin what", "latin:ask", True), (6, "what", None, "latin", [["que"]], False, "latin que", "latin:que", True),
+    (7, "form", None, "long", [], False, "form of long ones", "long", False),
+]
+ITEM_KINDS = {"what": "say what", "when": "say when", "form": "say how"}
+ITEM_MARKS = {"latin": ["ción", " la "]}
+
+
+def rules_sql() -> str:
+    text = lambda x: "NULL" if x is None else f"'{x}'"
+    return ", ".join(f"({p}, '{kind}', {text(intent)}, {text(flag)}, CAST({words} AS VARCHAR[][]), {scoped}, '{query}', '{reason}', {replaces})" for p, kind, intent, flag, words, scoped, query, reason, replaces in ITEM_RULES)
+
+
+@query(f"""
+    WITH r(place, kind, intent, flag, words, scoped, query, reason, replaces) AS (VALUES {rules_sql()}),
+    q AS (
+        SELECT item_id AS request, lower(coalesce(text, '')) AS c, text, list_filter([CASE WHEN item_id % 2 = 0 THEN 'ask' END, CASE WHEN item_id % 3 = 0 THEN 'tell' END], lambda x: x IS NOT NULL) AS intents,
+               list_filter([CASE WHEN contains(lower(text), 'the ') THEN 'english' END, CASE WHEN length(text) > 250 THEN 'long' END, CASE WHEN contains(lower(text), 'ción') OR contains(lower(text), ' la ') THEN 'latin' END], lambda x: x IS NOT NULL) AS flags FROM benchmark
+    ),
+    m AS (
+        SELECT request, kind, trim(left(trim(regexp_replace(CASE WHEN scoped THEN CASE WHEN list_contains(flags, 'latin') THEN 'scope of latin' ELSE left(trim(regexp_replace(text, '[ \\t\\n\\r]+', ' ', 'g')), 500) END || ' ' || query ELSE query END, '[ \\t\\n\\r]+', ' ', 'g')), 300)) AS query, reason, replaces, place
+        FROM q JOIN r ON (intent IS NULL OR list_contains(intents, intent)) AND (flag IS NULL OR list_contains(flags, flag)) AND len(list_filter(words, lambda g: len(list_filter(g, lambda w: contains(c, w))) = 0)) = 0
+    )
+    SELECT request, CAST(CASE kind WHEN 'what' THEN 1 WHEN 'when' THEN 2 ELSE 3 END AS INT) AS ord, kind, query, CASE kind WHEN 'what' THEN 'say what' WHEN 'when' THEN 'say when' ELSE 'say how' END AS requirement, reason
+    FROM m QUALIFY row_number() OVER (PARTITION BY request, kind ORDER BY replaces DESC, CASE WHEN replaces THEN -place ELSE place END) = 1""")
+def obligations(spark, sf_dir):
+    """Obligations of items by rules over their words and intents that go with their ids."""
+    text = F.lower(t.text("text"))
+    given = lambda *pairs: F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond in pairs)))
+    requests = table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("request"), F.col("text").alias("context"), F.col("text").alias("search_text"), given(("ask", F.col("item_id") % 2 == 0), ("tell", F.col("item_id") % 3 == 0)).alias("intents"),
+        given(("english", text.contains("the ")), ("long", F.length("text") > 250)).alias("flags"),
+    )
+    return ob.plan(requests, ob.rules_table(spark, ITEM_RULES), ITEM_MARKS, ITEM_KINDS, {"latin": "scope of latin"}, 300)
