@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small, utf8_rows
 from .graph import components
-from .near_dedup import FACTORS, SHINGLE, _groups, confirmed, mixed
+from .near_dedup import FACTORS, PERCENT, SHINGLE, _edges, _groups, confirmed, mixed
 
 REACH, LEAST, AROUND = 24, 8, 32
 #: A repeated run of fewer words is reported only where it is a whole text of at least WHOLE words.
@@ -150,13 +150,14 @@ def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compared, rows = [], []
         for doc, wanted, utf8 in zip(batch.column("doc").to_pylist(), batch.column("wanted").to_pylist(), utf8_rows(batch, "text"), strict=True):
             words = hashed(utf8)
+            rolled, short_words = _rolled(words, SHINGLE), words.astype(np.uint32).view(np.int32)
             for w in wanted:
                 start, end = w["start"], w["start"] + w["n"]
-                made = np.unique(_rolled(words[start:end], SHINGLE))
+                made = np.unique(rolled[start : max(start, end - SHINGLE + 1)])
                 # Rows that share a doc_id may differ in text: only the paragraph of the digest counts.
                 if len(made) and np.uint64(_digest(made)).view(np.int64) == w["digest"]:
-                    before, after = words[max(0, start - AROUND) : start][::-1] if w["left"] else [], words[end : end + AROUND] if w["right"] else []
-                    short = [np.asarray(x, np.uint64).astype(np.uint32).view(np.int32) for x in (before, after)]
+                    none = short_words[:0]
+                    short = (short_words[max(0, start - AROUND) : start][::-1] if w["left"] else none, short_words[end : end + AROUND] if w["right"] else none)
                     if w["keys"]:
                         compared.append(made)
                         rows.append(len(out))
@@ -168,14 +169,24 @@ def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     for group in _groups(batches, "key"):
+        if group.num_rows == 1:
+            continue
         digest = group.column("digest").to_numpy()
         sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
         bands = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)
-        collide = lambda k, others, bands=bands: (bands[k] == bands[others]).any(axis=1)
-        pairs = [(np.full(len(hit), digest[k]), digest[hit]) for k, hit in confirmed(sets, may_link=collide)]
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(side)) for side in zip(*pairs, strict=True)], names=["a", "b"])
+        if len(sets) == 2:
+            both = np.intersect1d(*sets, assume_unique=True).size
+            if 100 * both >= PERCENT * (len(sets[0]) + len(sets[1]) - both) and (bands[0] == bands[1]).any():
+                out.append((digest[:1], digest[1:]))
+        else:
+            collide = lambda k, others, bands=bands: (bands[k] == bands[others]).any(axis=1)
+            out += [(np.full(len(hit), digest[k]), digest[hit]) for k, hit in confirmed(sets, may_link=collide)]
+        if len(out) > 10_000:
+            yield _edges(out)
+            out = []
+    yield _edges(out)
 
 
 def _keys_by_band(bands: DataFrame) -> DataFrame:
