@@ -578,7 +578,15 @@ def session_ttl(spark, sf_dir):
     return rows.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n_events"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+    st AS (
+        SELECT user_id, event_type, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS recent, true AS allowed, CAST(0 AS BIGINT) AS retry_after FROM (SELECT DISTINCT user_id, event_type FROM e)
+        UNION ALL
+        SELECT user_id, event_type, event_id, rn, CASE WHEN len(r) < 2 THEN list_append(r, t) ELSE r END, len(r) < 2, CASE WHEN len(r) < 2 THEN 0 ELSE greatest(1, (604800000000 - (t - r[1]) + 999999) // 1000000) END
+        FROM (SELECT e.*, list_filter(st.recent, lambda x: x > e.t - 604800000000) AS r FROM st JOIN e ON st.user_id = e.user_id AND st.event_type = e.event_type AND e.rn = st.rn + 1)
+    )
+    SELECT user_id, event_type, event_id, allowed, retry_after FROM st WHERE rn > 0""")
 def rate_limit(spark, sf_dir):
     rows = temporal.rate_limit(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", "event_id", 2, 7 * 86_400)
     return rows.select("user_id", "event_type", "event_id", "allowed", "retry_after")
