@@ -392,7 +392,19 @@ def sentence_split(spark, sf_dir):
     return s.select("doc_id", F.size("s").alias("n_sentences"), F.md5(F.array_join("s", "|")).alias("sentences_md5"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n FROM documents),
+    c AS (
+        SELECT doc_id, CAST(0 AS BIGINT) AS a, CAST(0 AS BIGINT) AS b FROM d
+        UNION ALL
+        SELECT doc_id, b, CASE WHEN b + 1200 >= n THEN n WHEN greatest(line, stop) > 0 THEN greatest(line, stop) + 1 ELSE b + 1200 END
+        FROM (
+            SELECT *, CASE WHEN contains(w, chr(10)) THEN b + 1200 - strpos(reverse(w), chr(10)) ELSE -1 END AS line, CASE WHEN contains(w, '. ') THEN b + 1199 - strpos(reverse(w), ' .') ELSE -1 END AS stop
+            FROM (SELECT doc_id, b, n, substr(x, b + 401, 800) AS w FROM c JOIN d USING (doc_id) WHERE b < n))
+    ),
+    s AS (SELECT doc_id, a, substr(x, a + 1, b - a) AS raw FROM c JOIN d USING (doc_id) WHERE b > a),
+    t AS (SELECT doc_id, a + length(raw) - length(regexp_replace(raw, '^\\s+', '')) AS start, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS text FROM s)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INT) AS seq, CAST(start AS INT) AS start, CAST(start + length(text) AS INT) AS "end", sha256(text) AS text_sha256 FROM t WHERE text <> ''""")
 def spans_1200(spark, sf_dir):
     return spans.spans(docs_of(spark, sf_dir)).select("doc_id", "seq", "start", "end", F.sha2("text", 256).alias("text_sha256"))
 
