@@ -81,10 +81,11 @@ def test_span_patterns(spark):
 def test_a_full_list_ends_corrections(spark):
     """Tokens count as long as fewer than `most` terms stand before them; the list is cut."""
     rules = [(1, 0, "alpha", ["one", "two"], ["A"], [])]
-    laws = [("A", "keyword"), ("B", "mustard"), ("C", "lantern")]
-    terms, matches, domains, _ = read(spark, "alpha keywird mustird lantirn", rules, laws, most=3)
-    assert terms == ["one", "two", "keyword"] and [m[2] for m in matches] == ["one", "two", "keyword"] and ("B", False) not in domains
-    assert read(spark, "alpha keywird mustird lantirn", rules, laws)[0] == ["one", "two", "keyword", "mustard", "lantern"]
+    laws = [("A", "keyboardist"), ("B", "mustardseed"), ("C", "lanternfish")]
+    text = "alpha keybordist mustarseed lanternfsh"
+    terms, matches, domains, _ = read(spark, text, rules, laws, most=3)
+    assert terms == ["one", "two", "keyboardist"] and [m[2] for m in matches] == terms and ("B", False) not in domains
+    assert read(spark, text, rules, laws)[0] == ["one", "two", "keyboardist", "mustardseed", "lanternfish"]
 
 
 def test_phrases_by_position_are_plain_substrings(spark):
