@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.llm import attention_lm, graph, near_dedup, ngram_quality, substring_dedup, url_filters, warc
-from lodestone.llm.common import Scratch
+from lodestone.llm.common import Scratch, marked
 
 WORDS = [a + b for a in "ba co di fe gu ha jo ki lu me".split() for b in "nar pel quo rit sum tav wex yol zid".split()]
 
@@ -131,6 +131,29 @@ def test_all_documents_of_a_template_meet(spark):
     assert len({(a, b) for docs in leaves.values() for a in docs for b in docs if a < b}) == 120 * 119 // 2
 
 
+def test_documents_do_not_meet_by_chance_at_the_roots(spark):
+    """Tokens of 16 bits are equal by chance among many documents; whole minwise values are not, and equal ones still meet."""
+    rng = np.random.default_rng(9)
+    docs = [(k, bytearray(rng.integers(0, 8, near_dedup.TOKENS, dtype=np.uint16).tobytes()), bytearray(rng.integers(0, 2**32, len(near_dedup.ROOT_AT), dtype=np.uint32).tobytes())) for k in range(200)]
+    docs += [(1000 + k, docs[k][1], docs[k][2]) for k in range(3)]
+    rows = near_dedup.leaves(spark.createDataFrame(docs, "doc long, signature binary, roots binary"), Scratch(spark, "t")).collect()
+    leaves = {}
+    for r in rows:
+        leaves.setdefault(r.node, set()).add(r.doc)
+    assert {frozenset(x) for x in leaves.values()} == {frozenset((k, 1000 + k)) for k in range(3)}
+    low = near_dedup.lowest(near_dedup.shingles(b"one two three four five six seven"))
+    assert near_dedup.signature(low).tolist() == [int(x) >> 8 & 0xFFFF for x in low]
+    assert near_dedup.roots(low).tolist() == [int(low[c]) >> 24 & 0xFFFFFFFF for c in near_dedup.ROOT_AT]
+
+
+def test_marked_rows_hold_all_keys(spark):
+    rows = spark.range(-20_000, 20_000).withColumn("t", F.lit("text"))
+    keys = spark.range(-20_000, 20_000, 40)
+    got = {r.id for r in marked(rows, keys.union(keys), "id").collect()}
+    assert got >= {r.id for r in keys.collect()} and len(got) < 1200
+    assert marked(rows, keys, "id").columns == rows.columns and not marked(rows, keys.limit(0), "id").count()
+
+
 def test_near_duplicates_edges(spark):
     rows = [(None, "a b c"), (None, "lone one"), (4, "a b c"), (3, "a B c"), (3, "other words here"), (9, "other words here")]
     got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_duplicates(docs_of(spark, rows), Scratch(spark, "t")).collect()}
