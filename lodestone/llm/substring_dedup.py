@@ -40,12 +40,14 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, small, utf8_rows
 from .graph import components
-from .near_dedup import FACTORS, PERCENT, SHINGLE, _edges, _groups, confirmed, mixed
+from .near_dedup import FACTORS, PERCENT, SHINGLE, _edges, confirmed, mixed
 
 REACH, LEAST, AROUND = 24, 8, 32
 #: A repeated run of fewer words is reported only where it is a whole text of at least WHOLE words.
 RUN, WHOLE = 24, 12
 BANDS, ROWS = 4, 2
+#: Words of texts that are cut at once.
+HELD = 1 << 18
 #: Distinct sets of one candidate cluster or band value that are compared in one task.
 CLUSTER = 2048
 _rng = np.random.default_rng(31)
@@ -66,31 +68,61 @@ def _rolled(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(out)
 
 
-def cuts(words: np.ndarray) -> np.ndarray:
-    """Where paragraphs begin, and the end of the text."""
-    ends = np.array([0, len(words)])
-    if len(words) < REACH + 2:
-        return ends
-    order = _rolled(words, 3)
-    low = sliding_window_view(order, REACH).argmin(1)
-    at = np.unique(low + np.arange(len(low)))
-    # Of cuts with the same words, as in a line said over and over, only the first counts.
-    at = at[np.concatenate([[True], order[at[1:]] != order[at[:-1]]])]
-    return np.union1d(at, ends)
+def cuts(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Where paragraphs begin, and the ends of the texts. words: those of texts of these lengths, one after another."""
+    ends = np.cumsum(lengths)
+    order, end = _rolled(words, 3), np.repeat(ends, lengths)
+    at = _lowest(order, np.arange(len(words) - REACH - 1) + REACH + 2 <= end[: -REACH - 1]) if len(words) >= REACH + 2 else ends[:0]
+    # Of a text's cuts with the same words, as in a line said over and over, only the first counts.
+    new = (order[at[1:]] != order[at[:-1]]) | (end[at[1:]] != end[at[:-1]])
+    return np.unique(np.concatenate([[0], at[:1], at[1:][new], ends]))
+
+
+def _lowest(order: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Where the first smallest value of some window of REACH positions stands. inside: which windows lie in one text."""
+    low, size = order, 1
+    while 2 * size <= REACH:
+        low, size = np.minimum(low[:-size], low[size:]), 2 * size
+    low = np.minimum(low[: len(low) - (REACH - size)], low[REACH - size :])
+    windows = sliding_window_view(order, REACH)
+    # Windows side by side with one smallest value share its place, so only the first of them is looked through.
+    first = inside.copy()
+    first[1:] &= (low[1:] != low[:-1]) | ~inside[:-1]
+    starts = np.flatnonzero(first)
+    at = starts + windows[starts].argmin(1)
+    runs = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else starts
+    if (starts + runs > at + 1).any():  # that value stands there again: windows past its first place have another
+        starts = np.flatnonzero(inside)
+        at = starts + windows[starts].argmin(1)
+    return np.unique(at)
 
 
 def _digest(shingle_set: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(shingle_set.tobytes())
 
 
-def paragraphs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Starts, lengths and shingle sets of the paragraphs that are compared."""
-    at = cuts(words)
+def paragraphs(words: np.ndarray, lengths: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Starts, lengths and shingle sets of the paragraphs that are compared. words: those of one text, or of texts of these lengths."""
+    at = cuts(words, np.array([len(words)]) if lengths is None else lengths)
     lengths = np.diff(at)
     keep = lengths >= LEAST
     starts, lengths = at[:-1][keep], lengths[keep]
-    rolled = _rolled(words, SHINGLE)
-    return starts, lengths, [np.unique(rolled[a : a + n - SHINGLE + 1]) for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)]
+    return starts, lengths, _sets(_rolled(words, SHINGLE), starts, lengths - SHINGLE + 1)
+
+
+def _sets(rolled: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct values of each run of rolled. Runs of up to REACH values are sorted side by side, as rows of a table."""
+    if not len(starts):
+        return []
+    columns = np.arange(REACH)
+    table = rolled[np.minimum(starts[:, None] + columns, len(rolled) - 1)]
+    table[columns >= counts[:, None]] = np.iinfo(np.uint64).max
+    table.sort(axis=1)
+    again = ((table[:, 1:] == table[:, :-1]) & (columns[1:] < counts[:, None])).any(1) | (counts > REACH)
+    found = [row[:n] for row, n in zip(table, counts.tolist(), strict=True)]
+    for k in np.flatnonzero(again).tolist():
+        found[k] = np.unique(rolled[starts[k] : starts[k] + counts[k]])
+    return found
 
 
 def _bands(sets: list[np.ndarray]) -> np.ndarray:
@@ -110,18 +142,29 @@ UNITS = "digest long, doc long, start int, n int, size int, b0 long, b1 long, b2
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [c.split()[0] for c in UNITS.split(", ")]
+    """UNITS of texts; of small ones many at once."""
     for batch in small(batches, 64):
-        found, sets = [], []
+        docs, texts, held = [], [], 0
         for doc, utf8 in zip(batch.column("doc").to_pylist(), utf8_rows(batch, "text"), strict=True):
-            words = hashed(utf8)
-            starts, lengths, own = paragraphs(words)
-            found.append((np.full(len(starts), doc, np.int64), starts.astype(np.int32), lengths.astype(np.int32), np.full(len(starts), len(words), np.int32)))
-            sets += own
-        if sets:
-            digest = np.array([_digest(x) for x in sets], np.uint64).view(np.int64)
-            columns = [np.concatenate([f[k] for f in found]) for k in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (digest, *columns, *_bands(sets).view(np.int64).T)], names=names)
+            docs.append(doc)
+            texts.append(hashed(utf8))
+            held += len(texts[-1])
+            if held >= HELD:
+                yield _units_of(docs, texts)
+                docs, texts, held = [], [], 0
+        if held:
+            yield _units_of(docs, texts)
+
+
+def _units_of(docs: list[int], texts: list[np.ndarray]) -> pa.RecordBatch:
+    counts = np.array([len(x) for x in texts])
+    ends = np.cumsum(counts)
+    starts, lengths, sets = paragraphs(np.concatenate(texts), counts)
+    own = np.searchsorted(ends, starts, side="right")
+    digest = np.array([_digest(x) for x in sets], np.uint64).view(np.int64)
+    ints = (x.astype(np.int32) for x in (starts - (ends - counts)[own], lengths, counts[own]))
+    bands = _bands(sets) if sets else np.empty((0, BANDS), np.uint64)
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in (digest, np.array(docs)[own], *ints, *bands.view(np.int64).T)], names=[c.split()[0] for c in UNITS.split(", ")])
 
 
 def _link_bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,17 +211,36 @@ def _made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in MADE.split(", ")])
 
 
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list]]:
+    """digest, shingles and bands of each key with two rows or more, from rows sorted by key; a key may cross batches."""
+    last, held = None, ([], [], [])
+    for batch in batches:
+        keys = batch.column("key").to_numpy(zero_copy_only=False)
+        columns = [batch.column(c).to_pylist() for c in ("digest", "shingles", "bands")]
+        ends = [*(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), batch.num_rows]
+        start = 0
+        for end, key in zip(ends if batch.num_rows else (), keys[[0, *ends[:-1]]].tolist() if batch.num_rows else (), strict=True):
+            if key != last:
+                if len(held[0]) > 1:
+                    yield held
+                last, held = key, ([], [], [])
+            for into, column in zip(held, columns, strict=True):
+                into += column[start:end]
+            start = end
+    if len(held[0]) > 1:
+        yield held
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out: list[tuple[np.ndarray, np.ndarray]] = []
-    for group in _groups(batches, "key"):
-        if group.num_rows == 1:
-            continue
-        digest = group.column("digest").to_numpy()
-        sets = [np.frombuffer(b, np.uint64) for b in group.column("shingles").to_pylist()]
-        bands = np.frombuffer(b"".join(group.column("bands").to_pylist()), np.uint64).reshape(-1, BANDS)
+    for digests, shingles, bands in _met(batches):
+        digest, sets = np.array(digests), [np.frombuffer(b, np.uint64) for b in shingles]
+        bands = np.frombuffer(b"".join(bands), np.uint64).reshape(-1, BANDS)
         if len(sets) == 2:
-            both = np.intersect1d(*sets, assume_unique=True).size
-            if 100 * both >= PERCENT * (len(sets[0]) + len(sets[1]) - both) and (bands[0] == bands[1]).any():
+            joined = np.concatenate(sets)
+            joined.sort()
+            both = np.count_nonzero(joined[1:] == joined[:-1])
+            if 100 * both >= PERCENT * (len(joined) - both) and (bands[0] == bands[1]).any():
                 out.append((digest[:1], digest[1:]))
         else:
             collide = lambda k, others, bands=bands: (bands[k] == bands[others]).any(axis=1)

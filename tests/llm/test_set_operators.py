@@ -163,6 +163,30 @@ def test_near_duplicates_edges(spark):
     assert left.columns == docs_of(spark, rows).columns and left.count() == 4
 
 
+def test_texts_cut_together_are_cut_as_alone():
+    """Cuts of many texts at once are those of each text by the definition, also where its words repeat without end."""
+    rnd = random.Random(12)
+    texts = [prose(rnd, n) for n in (0, 1, 4, 5, 25, 26, 27, 60, 300)] + [["a"] * 90, ["a", "b"] * 70, prose(rnd, 24) * 5, prose(rnd, 7) * 30 + prose(rnd, 40), []]
+    texts += [[rnd.choice("abc"[:n]) for _ in range(200)] for n in (2, 3) for _ in range(5)]
+    words = [substring_dedup.hashed(" ".join(t).encode()) for t in texts]
+    wanted, before = [], 0
+    for w in words:
+        order, at = substring_dedup._rolled(w, 3).tolist(), set()
+        for k in range(len(order) - substring_dedup.REACH + 1):
+            window = order[k : k + substring_dedup.REACH]
+            at.add(k + window.index(min(window)))
+        at = sorted(at)
+        at = [p for k, p in enumerate(at) if not k or order[p] != order[at[k - 1]]]
+        ends = sorted({0, *at, len(w)})
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            if b - a >= substring_dedup.LEAST:
+                rolled = substring_dedup._rolled(w, substring_dedup.SHINGLE)[a : b - substring_dedup.SHINGLE + 1]
+                wanted.append((before + a, b - a, sorted(set(rolled.tolist()))))
+        before += len(w)
+    starts, lengths, sets = substring_dedup.paragraphs(np.concatenate(words), np.array([len(w) for w in words]))
+    assert list(zip(starts.tolist(), lengths.tolist(), [x.tolist() for x in sets], strict=True)) == wanted
+
+
 def test_every_long_repeat_is_found(spark):
     rnd = random.Random(8)
     passages = [prose(rnd, 52) for _ in range(6)]
