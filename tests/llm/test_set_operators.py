@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -479,6 +480,31 @@ def test_attention_trains_on_every_id(monkeypatch):
     assert np.array_equal(np.sort(np.concatenate(seen)), np.sort(np.concatenate([*texts, [2] * len(texts)])))
 
 
+def test_counts_by_parts_of_keys():
+    """A block gets the counts of its lists in their order, from few packed rows instead of one for each entry."""
+    rng, lists, total = np.random.default_rng(13), {}, ({}, {})
+    for block in range(5):
+        lists[block] = [(np.unique(rng.integers(low, high, 3000)), rng.integers(0, 3, 3000) << 33) for low, high in ((-(2**62), 2**62), (0, 5000))]
+        lists[block] = [(keys, n[: len(keys)]) for keys, n in lists[block]]
+        for kind, (keys, n) in enumerate(lists[block]):
+            for key, m in zip(keys.tolist(), n.tolist(), strict=True):
+                total[kind][key] = total[kind].get(key, 0) + m
+    blocks = pa.RecordBatch.from_pydict({"block": list(lists)} | {c: [x[k][j].tolist() for x in lists.values()] for k, names in enumerate(attention_lm.LISTS) for j, c in enumerate(names)})
+    dealt = pa.Table.from_batches(list(attention_lm._deal(3)(iter([blocks]))))
+    assert dealt.num_rows == 5 * 2 * 3
+    for kind in (0, 1):
+        got, sums = {b: np.full(len(lists[b][kind][0]), -1) for b in lists}, {}
+        for part in range(3):
+            rows = dealt.filter(pa.compute.and_(pa.compute.equal(dealt["part"], part), pa.compute.equal(dealt["kind"], kind)))
+            for r in attention_lm._count(rows).to_pylist():
+                if r["block"] is None:
+                    sums |= dict(zip(attention_lm._longs(r["keys"]).tolist(), attention_lm._longs(r["n"]).tolist(), strict=True))
+                else:
+                    got[r["block"]][attention_lm._by_part(lists[r["block"]][kind][0], 3)[part]] = attention_lm._longs(r["n"])
+        assert sums == {k: n for k, n in total[kind].items() if n}
+        assert all(got[b].tolist() == [total[kind][k] for k in lists[b][kind][0].tolist()] for b in lists)
+
+
 def test_segments_cover_the_text(monkeypatch):
     text = " ".join(prose(random.Random(8), 400)).encode()
     assert list(attention_lm._segments(b"a bb c")) == [([b"a", b"bb", b"c"], True)]
