@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, text_of
+from .common import Scratch, parted, text_of
 
 WHITE = "[\\x20\\x09-\\x0D]+"
 SUPPORT = 0.001
@@ -68,14 +68,10 @@ def drop_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     """The rows of docs that stay, with their columns: of equal texts the one with the smallest id.
 
     Copies of winners go in the map task, by the broadcast. Of the other rows, those that go are known as a narrow list of
-    (id, digest); only an anti join with it reads texts. Equal rows of one id are told apart where such rows exist.
+    (id, digest), and ids that repeat with their text as another. Rows without a mark of such an id stay and are not shuffled;
+    only the rest meets the lists, with its texts. Equal rows of one id are told apart where such rows exist.
     """
     digests, winners = _split(docs, scratch, id_col, text_col, support)
-    hidden = docs.toDF(*(f"input{k}" for k in range(len(docs.columns))))
-    own_id, own_text = (F.col(f"input{docs.columns.index(c)}") for c in (id_col, text_col))
-    marked = hidden.withColumns({"doc_id": own_id.cast("long"), "digest": F.unhex(text_digest(F.coalesce(own_text.cast("string"), F.lit(""))))})
-    left = marked.join(F.broadcast(winners.select("digest", "keep_id")), "digest", "left").filter(F.col("keep_id").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("keep_id")
-
     # Groups without any id keep all their rows.
     rest = digests.join(F.broadcast(winners), "digest", "left_anti")
     several = _totals(rest).filter("group_size > 1 and keep_id is not null").select("digest", "keep_id")
@@ -83,11 +79,22 @@ def drop_duplicates(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", t
     hot_gone = digests.join(F.broadcast(winners), "digest").filter("keep_id is not null and doc_id is null").select("doc_id", "digest")
     listed = scratch.cut(gone.unionByName(hot_gone).distinct(), "gone")
     known, nameless = listed.filter("doc_id is not null"), listed.filter("doc_id is null").select("digest")
-    left = left.join(known, ["doc_id", "digest"], "left_anti")
+    again = scratch.cut(digests.filter("doc_id is not null").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "digest"), "again")
+
+    hidden = docs.toDF(*(f"input{k}" for k in range(len(docs.columns))))
+    own_id, own_text = (F.col(f"input{docs.columns.index(c)}") for c in (id_col, text_col))
+
+    def without_winners(rows: DataFrame) -> DataFrame:
+        found = rows.withColumn("digest", F.unhex(text_digest(F.coalesce(own_text.cast("string"), F.lit("")))))
+        found = found.join(F.broadcast(winners.select("digest", "keep_id")), "digest", "left")
+        return found.filter(F.col("keep_id").isNull() | F.col("doc_id").eqNullSafe(F.col("keep_id"))).drop("keep_id")
+
+    near, far = parted(hidden.withColumn("doc_id", own_id.cast("long")), listed.select("doc_id").unionByName(again.select("doc_id")), "doc_id")
+    left = without_winners(near).join(known, ["doc_id", "digest"], "left_anti")
     if nameless.limit(1).count():
         left = left.filter("doc_id is not null").unionByName(left.filter("doc_id is null").join(nameless, "digest", "left_anti"))
-    again = scratch.cut(digests.filter("doc_id is not null").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("doc_id", "digest"), "again")
     if again.limit(1).count():
         once = left.join(again, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
         left = left.join(again, ["doc_id", "digest"], "left_anti").unionByName(once)
+    left = left.unionByName(without_winners(far))
     return left.select(*(F.col(f"input{k}").alias(c) for k, c in enumerate(docs.columns)))

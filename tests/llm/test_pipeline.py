@@ -6,11 +6,13 @@ import random
 import re
 
 import public_tokenizers
+import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from test_set_operators import brute_components, near_rows, prose
 
 import corpus_pipeline
+from lodestone.llm.common import parted
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -100,3 +102,46 @@ def test_clashing_columns_pass_through(spark, tmp_path):
         out = stage(spark, docs, str(tmp_path))
         assert out.columns == docs.columns, name
         assert [r.asDict() for r in out.select(*mine).distinct().collect()] == [mine], name
+
+
+def shuffled(spark, work):
+    """work's result, and the bytes that its stages write to shuffles."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (found.apply(k) for k in range(found.size()))}
+
+    before = stages()
+    out = work()
+    return out, sum(n for key, n in stages().items() if key not in before)
+
+
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies])
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path, stage):
+    """Where the list of those that go is too long to broadcast, only marked rows meet it with their texts."""
+    rnd = random.Random(31)
+    texts = [" ".join(f"{rnd.getrandbits(64):x}" for _ in range(600)) for _ in range(400)]
+    rows = [*enumerate(texts), *((1000 + k, texts[k]) for k in range(10)), (2000, None), (2001, ""), (None, texts[20]), (3, texts[3]), (None, "alone")]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    docs, old = spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left, size = shuffled(spark, lambda: stage(spark, docs, str(tmp_path)).collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # Rows without an id go as copies in exact dedup only, a repeated row is one there; an empty set has no link.
+    extra = [("None", "alone"), ("2000", "")] if stage is corpus_pipeline.drop_copies else [("None", "alone"), ("None", texts[20]), ("2000", ""), ("2001", ""), ("3", texts[3])]
+    assert sorted((str(r.doc_id), r.text or "") for r in left) == sorted([*((str(k), t) for k, t in enumerate(texts)), *extra])
+    assert size < sum(map(len, texts)) / 4
+
+
+def test_parted_rows_are_whole(spark):
+    rows = spark.createDataFrame([(k if k % 9 else None, f"t{k}") for k in range(20_000)], "id long, t string")
+    for keys in (spark.range(0, 20_000, 40), spark.createDataFrame([(None,), (5,)], "id long"), spark.range(0)):
+        near, far = parted(rows, keys, "id")
+        assert near.columns == far.columns == rows.columns
+        assert sorted(r.t for r in near.unionByName(far).collect()) == sorted(r.t for r in rows.collect())
+        wanted = {r.id for r in keys.collect()}
+        assert not wanted & {r.id for r in far.collect()} and near.count() < 20_000 / 6
