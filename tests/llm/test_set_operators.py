@@ -9,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute
 import public_tokenizers
 import pytest
+import sentencepiece
+import xxhash
 from pyspark.sql import functions as F
 
 from lodestone.llm import attention_lm, graph, near_dedup, ngram_quality, substring_dedup, url_filters, warc
@@ -480,6 +482,65 @@ def test_attention_trains_on_every_id(monkeypatch):
     assert np.array_equal(np.sort(np.concatenate(seen)), np.sort(np.concatenate([*texts, [2] * len(texts)])))
 
 
+def test_gradients_are_of_the_loss_and_ids_are_read_once():
+    """Runs hold each id once, and one block more for a text or a step, instead of every window's ids."""
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(3, 60, n) for n in (0, 1, 11, 12, 13, 100)]
+    model, _, _ = small_lm(texts)
+    model.p = {n: rng.normal(size=v.shape) * 0.3 for n, v in model.p.items()}
+    steps = list(model.batches(iter(segments(texts)), 5))
+    windows = sum(-(-(len(t) + 1) // attention_lm.STRIDE) for t in texts)
+    assert sum(x.size for x, *_ in steps) <= attention_lm.STRIDE * (windows + len(texts) + len(steps)) < attention_lm.WINDOW * windows
+    for x, y, keep, _ in steps:
+        loss = lambda x=x, y=y, keep=keep: -model.log_probs(model.hidden(x)[0], x[attention_lm.CONTEXT :], y.ravel())[keep.ravel()].sum()
+        for name, grad in model.gradients(x, y, keep).items():
+            rows, g = grad if isinstance(grad, tuple) else (np.arange(len(grad)), grad)
+            for r, c in zip(rng.integers(0, len(rows), 4), rng.integers(0, g.shape[1], 4), strict=True):
+                values, old = [], model.p[name][rows[r], c]
+                for step in (1e-5, -1e-5):
+                    model.p[name][rows[r], c] = old + step
+                    values.append(loss())
+                model.p[name][rows[r], c] = old
+                assert abs((values[0] - values[1]) / 2e-5 - g[r, c]) < 1e-4 * max(1, abs(g[r, c])), name
+
+
+def test_blocks_hold_all_words_and_look_each_up_seldom(monkeypatch):
+    rnd, looked = random.Random(12), []
+    texts = [" ".join(prose(rnd, rnd.choice((0, 3, 40, 900)))) for _ in range(60)] + [None, "  a\tB  "]
+    monkeypatch.setattr(attention_lm, "SEGMENT", 2000)
+    monkeypatch.setattr(attention_lm, "BLOCK_BYTES", 20_000)
+
+    class Counting(attention_lm._Numbered):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    monkeypatch.setattr(attention_lm, "_Numbered", Counting)
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    shared = type("Shared", (), {"value": library.serialized_model_proto()})
+    n = range(len(texts))
+    rows = pa.RecordBatch.from_arrays([pa.array(n), pa.array(n), pa.array([k % 5 == 1 for k in n]), pa.array(texts)], names=["row", "doc_id", "held", "text"])
+    got, chosen, counts = {}, {}, {}
+    blocks = list(attention_lm._blocks(shared, 1, 2)(iter([rows])))
+    for b in blocks:
+        hashes = np.array(b.column("words")[0].as_py())
+        at = attention_lm._split(np.frombuffer(b.column("at")[0].as_py(), "<u4"), b.column("word_counts")[0].as_py())
+        wanted = [row % 3 == 0 for row in b.column("rows")[0].as_py()]
+        some = iter(attention_lm._texts(b, 0, 2, wanted))
+        for row, a, (_, ids), w in zip(b.column("rows")[0].as_py(), at, attention_lm._texts(b, 0, 2), wanted, strict=True):
+            got.setdefault(row, []).extend(hashes[a].tolist())
+            assert not w or np.array_equal(next(some)[1], ids)
+        assert next(some, None) is None
+        for key, m in zip(hashes.tolist(), b.column("word_train")[0].as_py(), strict=True):
+            counts[key] = counts.get(key, 0) + m
+    hashed = lambda w: int(np.array(xxhash.xxh64_intdigest(w), np.uint64).view(np.int64))
+    wanted = {k: [hashed(w) for w in (t or "").encode().lower().split()] for k, t in enumerate(texts)}
+    assert len(blocks) > 3 and got == wanted
+    train = [w for k, t in wanted.items() if k % 5 != 1 for w in t]
+    assert {k: m for k, m in counts.items() if m} == {w: train.count(w) for w in set(train)}
+    assert len(looked) < sum(map(len, wanted.values())) / 2
+
+
 def test_counts_by_parts_of_keys():
     """A block gets the counts of its lists in their order, from few packed rows instead of one for each entry."""
     rng, lists, total = np.random.default_rng(13), {}, ({}, {})
