@@ -11,8 +11,13 @@ revisions has.
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions import text as t
@@ -20,6 +25,9 @@ from .provenance import json_string
 
 #: A day after all others, as days since 1970.
 NEVER = 1 << 22
+#: Stretches that all days are divided into, and the kinds of rows that pass there.
+STRETCHES = 8
+TITLE, SPAN, REQUEST = 0, 1, 2
 # The version marks that hashes cover, statuses, and authority classes by source.
 REVISION_VERSION, SECTION_VERSION = "revision-1", "section-1"
 STATUS, EVIDENCE = "BINDING_SECTION_VERIFIED", "rt_live_verified"
@@ -39,18 +47,71 @@ def in_force(requests: DataFrame, revisions: DataFrame, keys: list[str], day: st
     return met.drop("__day", "__level", "__block", "__a", "__b")
 
 
+def _swept(asked: DataFrame, own: DataFrame) -> DataFrame:
+    """asked (request, k, as_of) with acts, those in force on the day, and of all the title's revisions: first, the earliest day of a whole one, and holes, if one is not whole. own: act_id, k, valid_from, valid_to, whole.
+
+    Requests are shuffled once, with the intervals, by title and by stretch of days: of all the days of the intervals there are
+    STRETCHES, so that a title with very many revisions or requests is not one task's. There they pass in order of days.
+    """
+    number = lambda c: F.unix_date(F.col(c).cast("date"))
+    spans = own.filter("whole").select("act_id", "k", number("valid_from").alias("day"), F.coalesce(number("valid_to"), F.lit(NEVER)).alias("until")).filter("until > day and act_id is not null")
+    days = spans.agg(F.min("day").alias("low"), F.max(F.when(F.col("until") < NEVER, F.col("until")).otherwise(F.col("day") + 1)).alias("high")).first()
+    low, high = (days["low"], days["high"]) if days["low"] is not None else (0, 1)
+    length = -(-(high - low) // STRETCHES)
+    # Days before all intervals are in the first stretch, days after them in the last one.
+    place = lambda day: F.greatest(F.lit(0), F.least(F.lit(STRETCHES - 1), F.floor((day - low) / length))).cast("int")
+    kinds = {c: own.schema[c].dataType for c in ("act_id", "k")} | {c: asked.schema[c].dataType for c in ("request", "as_of")}
+    types = {"k": kinds["k"], "place": T.IntegerType(), "day": T.IntegerType(), "kind": T.IntegerType(), "act_id": kinds["act_id"], "until": T.IntegerType(), "holes": T.BooleanType(), "request": kinds["request"], "as_of": kinds["as_of"]}
+    rows = lambda df, **more: df.select(*((more[c] if c in more else F.lit(None)).cast(kind).alias(c) for c, kind in types.items()))
+    known = own.groupBy("k").agg(F.min(F.when(F.col("whole"), number("valid_from"))).alias("until"), F.bool_or(~F.col("whole")).alias("holes"))
+    titles = rows(known.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(STRETCHES - 1)))), k=F.col("k"), place=F.col("place"), kind=F.lit(TITLE), until=F.col("until"), holes=F.col("holes"))
+    spans = spans.withColumn("place", F.explode(F.sequence(place(F.col("day")), place(F.col("until") - 1))))
+    spans = rows(spans, k=F.col("k"), place=F.col("place"), day=F.col("day"), kind=F.lit(SPAN), act_id=F.col("act_id"), until=F.col("until"))
+    day = F.coalesce(number("as_of"), F.lit(low - 1))
+    asks = rows(asked.withColumn("day", day), k=F.col("k"), place=place(F.col("day")), day=F.col("day"), kind=F.lit(REQUEST), request=F.col("request"), as_of=F.col("as_of"))
+    tasks = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = titles.unionByName(spans).unionByName(asks).repartition(tasks, "k", "place").sortWithinPartitions("k", "place", F.col("day").asc_nulls_first(), "kind")
+    schema = T.StructType([T.StructField("request", kinds["request"]), T.StructField("as_of", kinds["as_of"]), T.StructField("first", T.IntegerType()), T.StructField("holes", T.BooleanType()), T.StructField("acts", T.ArrayType(kinds["act_id"]))])
+    return met.mapInArrow(_sweep, schema).withColumn("first", F.date_from_unix_date("first"))
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of title, stretch and day, the requests with the acts whose interval holds their day."""
+    group, title, live = None, (None, None), []
+    for batch in batches:
+        at, first, holes, acts = [], [], [], []
+        columns = (batch.column(c).to_pylist() for c in ("k", "place", "day", "kind", "act_id", "until", "holes"))
+        for i, (k, place, day, kind, act, until, hole) in enumerate(zip(*columns, strict=True)):
+            if group != (k, place):
+                group, title, live = (k, place), (None, None), []
+            if kind == TITLE:
+                title = until, hole
+            elif kind == SPAN:
+                heapq.heappush(live, (until, i, act))
+            else:
+                while live and live[0][0] <= day:
+                    heapq.heappop(live)
+                at.append(i)
+                first.append(title[0])
+                holes.append(title[1])
+                acts.append(sorted({a for _, _, a in live}))
+        chosen = pa.array(at, pa.int64())
+        values = [batch.column("request").take(chosen), batch.column("as_of").take(chosen), pa.array(first, pa.int32()), pa.array(holes, pa.bool_()), pa.array(acts, pa.list_(batch.column("act_id").type))]
+        yield pa.RecordBatch.from_arrays(values, names=["request", "as_of", "first", "holes", "acts"])
+
+
 def resolve(requests: DataFrame, revisions: DataFrame, today: Column | None = None) -> DataFrame:
     """request, act_id, n_acts, reason: the act with the requested title that is in force on the day, where exactly one is.
 
     requests: request, title, as_of. revisions: act_id, title, valid_from, valid_to (dates; an open end is null and `open`
-    true, and an unknown end is null and `open` false). Titles are compared folded.
+    true, and an unknown end is null and `open` false). Titles are compared folded. The acts of a request's rows count together.
     """
     today = F.current_date() if today is None else today
     asked = requests.select("request", t.fold("title").alias("k"), F.col("as_of").cast("date").alias("as_of"))
     own = revisions.select("act_id", t.fold("title").alias("k"), "valid_from", "valid_to", (F.col("valid_from").isNotNull() & (F.col("valid_to").isNotNull() | F.col("open"))).alias("whole"))
-    met = in_force(asked, own.filter("whole"), ["k"], "as_of", "valid_from", "valid_to").groupBy("request").agg(F.min("act_id").alias("act_id"), F.count_distinct("act_id").alias("n_acts"))
-    known = own.groupBy("k").agg(F.min(F.when(F.col("whole"), F.col("valid_from"))).alias("first"), F.bool_or(~F.col("whole")).alias("holes"))
-    out = asked.join(met, "request", "left").join(known, "k", "left")
+    out = _swept(asked, own)
+    every = F.array_distinct(F.flatten(F.collect_list(F.when(F.col("request").isNotNull(), F.col("acts"))).over(Window.partitionBy("request"))))
+    out = out.withColumn("every", every).select("request", "as_of", "first", "holes", F.array_min("every").alias("act_id"), F.size("every").cast("long").alias("n_acts"))
     n = F.coalesce("n_acts", F.lit(0))
     reason = (
         F.when(F.col("as_of").isNull(), "no date").when(F.col("as_of") > today, "future date").when(F.col("holes").isNull(), "unknown title").when(n > 1, "several acts").when(n == 1, F.lit(None))
