@@ -30,7 +30,9 @@ from . import index as ix
 MOST = 500_000
 #: Bytes of text that are folded together, cells of documents and queries that are scored together, best rows a task holds.
 BYTES, CELLS, HELD = 4 << 20, 1 << 18, 2_000_000
-IN_BODY, IN_HEADING = 1, 2
+IN_BODY, IN_HEADING, IN_ALIAS = 1, 2, 4
+#: Numbers of a list are kept as number * FLAGS + flags.
+FLAGS = 8
 SPACE = 32
 NANO = 10**9
 
@@ -56,8 +58,8 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]], at - at[0]
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Folded bytes of lower-case texts that each end with a space, and their tokens: where they begin, lengths, and the text's number."""
+def words_of(column: pa.Array, least: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Folded bytes of lower-case texts that each end with a space, and their tokens (of `least` characters): where they begin, lengths, and the text's number."""
     ascii_, plane = _tables()
     data, at = _bytes(column)
     out = ascii_[data]
@@ -73,7 +75,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     edges = np.diff((text != SPACE).view(np.int8), prepend=np.int8(0))
     begin, end = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
     number = np.repeat(np.arange(len(column)), np.diff(np.searchsorted(begin, bounds), prepend=0))
-    long = end - begin >= 2
+    long = end - begin >= least
     return text, begin[long], (end - begin)[long], number[long]
 
 
@@ -127,14 +129,14 @@ def _csr(of: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.
 
 
 def _united(row: np.ndarray, number: np.ndarray, flags: np.ndarray, rows: int, size: int) -> pa.Array:
-    """A list for each row of its numbers, ascending, each once as 4 * number + all its flags."""
-    u = np.unique((row * size + number) * 4 + flags)
-    key = u >> 2
+    """A list for each row of its numbers, ascending, each once with all its flags."""
+    u = np.unique((row * size + number) * FLAGS + flags)
+    key = u // FLAGS
     first = np.flatnonzero(np.diff(key, prepend=-1))
-    flags = np.bitwise_or.reduceat(u & 3, first) if len(first) else u
+    flags = np.bitwise_or.reduceat(u % FLAGS, first) if len(first) else u
     row, number = np.divmod(key[first], max(size, 1))
     offsets = np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((number * 4 + flags).astype(np.int32)))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array((number * FLAGS + flags).astype(np.int32)))
 
 
 def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -149,7 +151,7 @@ def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Recor
 
 
 def _rows(shared, content: bool):
-    """(doc_id, length, terms, starts) of (doc_id, body, heading)."""
+    """(doc_id, length, terms, starts) of (doc_id, body, heading), and alias if there is such a column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Vocabulary = shared.value
@@ -158,7 +160,7 @@ def _rows(shared, content: bool):
         for batch in _slices(batches, "body"):
             n = batch.num_rows
             found = []
-            for column, flag in (("body", IN_BODY), ("heading", IN_HEADING)):
+            for column, flag in (("body", IN_BODY), ("heading", IN_HEADING), *([("alias", IN_ALIAS)] if "alias" in batch.schema.names else [])):
                 text, begin, length, number = words_of(batch.column(column))
                 if content and len(begin):
                     digits = np.add.reduceat((text[g := _gathered(begin, length)] <= 57) & (text[g] >= 48), np.cumsum(length) - length, dtype=np.int64)
@@ -185,7 +187,7 @@ def _lists(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray,
     """Row, number and flags of the items of a column of lists."""
     lists = batch.column(column)
     values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), values >> 2, values & 3
+    return np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)), values // FLAGS, values % FLAGS
 
 
 def _reunited(shared):
@@ -220,10 +222,11 @@ def _counted(shared):
 class Asked:
     """Which queries ask for which terms, by number; at most MOST pairs, distinct."""
 
-    def __init__(self, words: Vocabulary, pairs: pa.Table):
+    def __init__(self, words: Vocabulary, pairs: pa.Table, ids: pa.Array | None = None):
+        """ids: all queries, where others than those of the pairs have a number too."""
         coded = pairs.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
-        self.ids = coded.dictionary
-        query = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.ids = coded.dictionary if ids is None else ids
+        query = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) if ids is None else _found(pairs.column("query_id").combine_chunks(), ids)
         of = {x: k for k, x in enumerate(words.terms)}
         term = np.fromiter((of[x] for x in pairs.column("term").to_pylist()), np.int64, len(query))
         pair = np.unique(term * max(len(self.ids), 1) + query)
@@ -271,7 +274,7 @@ def _met(words: Vocabulary, asked: Asked, batch: pa.RecordBatch) -> tuple[np.nda
 
 
 @cache
-def _factor(length: int, average: float) -> int:
+def factor_of(length: int, average: float) -> int:
     """The length factor with nine decimals, as a whole number."""
     x = max(0.65, min(1.25, 1.1 / (0.6 + 0.4 * length / average)))
     return int(Decimal(repr(x)).quantize(Decimal("1e-9"), ROUND_HALF_UP).scaleb(9))
@@ -289,7 +292,7 @@ def weights(words: Vocabulary, idf: np.ndarray, pidf: np.ndarray, w: tuple[float
     own, begun = np.minimum(idf, cap * NANO), np.minimum(pidf[words.start_of] if len(idf) else idf, cap * NANO)
     out = np.zeros((len(words.terms), 16), np.int64)
     for state in range(16):
-        exact, near = state >> 2, state & 3
+        exact, near = state // 4, state % 4
         for flag, (whole, part) in ((IN_BODY, tenths[:2]), (IN_HEADING, tenths[2:])):
             out[:, state] += own * whole if exact & flag else begun * part if near & flag else 0
     return (out + 5) // 10
@@ -363,13 +366,15 @@ def scoring(shared, score, least: int, k: int | None, extra: list[str]):
     return run
 
 
-def field_sums(words: Vocabulary, asked: Asked, weight: np.ndarray, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of weights (nine decimals) and numbers of matched beginnings, by cell (row * queries + query)."""
+def field_sums(words: Vocabulary, asked: Asked, weight: np.ndarray, batch: pa.RecordBatch, fields: int = IN_BODY | IN_HEADING) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weights (nine decimals) and numbers of beginnings that match in one of the fields, by cell (row * queries + query)."""
     n = len(asked.ids)
     of, term, near, exact, row, start = _met(words, asked, batch)
     query, times = _spread(term, asked.by_term)
-    value = weight[term, exact * 4 + near] if len(term) else term
+    value = weight[term, exact % 4 * 4 + near % 4] if len(term) else term
     raw = np.bincount(np.repeat(of * n, times) + query, np.repeat(value, times), batch.num_rows * n)
+    own = _lists(batch, "starts")[2] & fields > 0
+    row, start = row[own], start[own]
     query, times = _spread(start, asked.by_start)
     return raw.astype(np.int64), np.bincount(np.repeat(row * n, times) + query, minlength=batch.num_rows * n)
 
@@ -385,10 +390,49 @@ def term_counts(words: Vocabulary, asked: Asked, batch: pa.RecordBatch) -> tuple
     return out[0], out[1]
 
 
+def taking_part(words: Vocabulary, asked: Asked, batch: pa.RecordBatch) -> np.ndarray:
+    """Cells of documents that have one of the query's terms in body or aliases, or a beginning of one in the body."""
+    n = len(asked.ids)
+    of, term, near, exact, _, _ = _met(words, asked, batch)
+    own = (exact & (IN_BODY | IN_ALIAS) > 0) | (near & IN_BODY > 0)
+    query, times = _spread(term[own], asked.by_term)
+    out = np.zeros(batch.num_rows * n, bool)
+    out[np.repeat(of[own] * n, times) + query] = True
+    return out
+
+
+def phrases_in(shared):
+    """doc_id, phrase, in_heading of (doc_id, body, heading), texts as in words_of: which phrases stand in the folded texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches, "body"):
+            rows: list[tuple[int, str, bool]] = []
+            for column in ("body", "heading"):
+                text, begin, length, number = words_of(batch.column(column), 1)
+                if not len(begin):
+                    continue
+                ends = np.cumsum(length + 1)
+                data = np.full(ends[-1], SPACE, np.uint8)
+                data[_gathered(ends - length - 1, length)] = text[_gathered(begin, length)]
+                last = np.flatnonzero(np.diff(number, append=-1))
+                data[ends[last] - 1] = 10  # no phrase goes on in the next text
+                whole, closes, owner = data.tobytes(), ends[last], number[last]
+                for phrase in shared.value:
+                    at = whole.find(wanted := phrase.encode())
+                    while at >= 0:
+                        k = int(np.searchsorted(closes, at, "right"))
+                        rows.append((int(owner[k]), phrase, column == "heading"))
+                        at = whole.find(wanted, int(closes[k]))
+            at = pa.array([r[0] for r in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(at), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.bool_())], names=["doc_id", "phrase", "in_heading"])
+
+    return run
+
+
 def _lexical(words: Vocabulary, asked: Asked, model: tuple, batch: pa.RecordBatch):
     weight, average, per_stem, both = model
     raw, matched = field_sums(words, asked, weight, batch)
-    factor = np.array([_factor(x, average) for x in batch.column("length").to_pylist()], np.int64)
+    factor = np.array([factor_of(x, average) for x in batch.column("length").to_pylist()], np.int64)
     cell = np.flatnonzero(raw)
     row, query = np.divmod(cell, max(len(asked.ids), 1))
     matched = matched[cell]
@@ -405,15 +449,15 @@ def _legacy(words: Vocabulary, asked: Asked, model: None, batch: pa.RecordBatch)
 class TermRows:
     """Written rows (doc_id, length, terms, starts) of a corpus for a vocabulary, with n_docs, average (tokens of a body), idf and pidf."""
 
-    def __init__(self, docs: DataFrame, terms: list[str], body: Column, heading: Column, content: bool = False):
-        """docs: doc_id and what body and heading read. Rows of one doc_id are one document."""
+    def __init__(self, docs: DataFrame, terms: list[str], body: Column, heading: Column, content: bool = False, alias: Column | None = None):
+        """docs: doc_id and what body, heading and alias read. Rows of one doc_id are one document."""
         self.spark = docs.sparkSession
         self.words = Vocabulary(terms)
         self.shared = self.spark.sparkContext.broadcast(self.words)
         closed = lambda c: F.concat(F.lower(t.text(c)), F.lit(" "))
         kind = docs.schema["doc_id"].dataType
         schema = T.StructType([T.StructField("doc_id", kind), T.StructField("length", T.LongType()), T.StructField("terms", T.ArrayType(T.IntegerType())), T.StructField("starts", T.ArrayType(T.IntegerType()))])
-        rows = written(docs.select("doc_id", closed(body).alias("body"), closed(heading).alias("heading")).mapInArrow(_rows(self.shared, content), schema), "term-rows")
+        rows = written(docs.select("doc_id", closed(body).alias("body"), closed(heading).alias("heading"), *([] if alias is None else [closed(alias).alias("alias")])).mapInArrow(_rows(self.shared, content), schema), "term-rows")
         stats = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("length"), F.lit(0.0)).alias("average")).first()
         self.n_docs, self.average = max(1, stats["n"]), max(1.0, stats["average"])
         several = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("id"))
